@@ -6,26 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut_lineage
+
 SLICES = 256
 
 
 def slice_bounds(values: DataFrame, column: str, slices: int = SLICES) -> Column:
-    """Ascending cut points that split ``column`` into about equal slices.
+    """Ascending cut points that split a numeric column into about equal slices.
 
     One scalar subquery. The sketch steers balance only: any cut points give
     the same result downstream.
     """
     cuts = [i / slices for i in range(1, slices)]
-    return values.agg(F.percentile_approx(column, cuts, 8 * slices).alias("bounds")).scalar()
+    return values.agg(F.percentile_approx(F.col(column).cast("double"), cuts, 8 * slices).alias("bounds")).scalar()
 
 
 def slice_number(bounds: Column, value: Column) -> Column:
     """How many cut points lie below ``value``, plus one; 0 for NULL.
 
-    Grows with ``value``, so the order of slices is the order of values.
+    Grows with ``value``, so the order of slices is the order of values. As a
+    double, a value keeps its order, and the search runs on primitive arrays.
     """
-    place = F.array_position(F.sort_array(F.array_append(bounds, value)), value)
-    return F.coalesce(place, F.lit(0).cast("long"))
+    # Never NULL inside the array: that keeps it a primitive one.
+    number = F.coalesce(value.cast("double"), F.lit(0.0))
+    place = F.array_position(F.sort_array(F.concat(bounds, F.array(number))), number)
+    return F.when(value.isNull(), F.lit(0).cast("long")).otherwise(F.coalesce(place, F.lit(0).cast("long")))
 
 
 def global_dense_rank(df: DataFrame, score: str, rank: str, slices: int = SLICES) -> DataFrame:
@@ -35,8 +40,10 @@ def global_dense_rank(df: DataFrame, score: str, rank: str, slices: int = SLICES
     scores are cut into value slices, ranked within their slice, shifted by the
     number of scores in the slices above (at most ``slices + 1`` rows), and
     joined back. A score shared by many rows is one row until the join, where
-    its partition can be split.
+    its partition can be split. The scored rows are used four times, so they
+    are written once.
     """
+    df = cut_lineage(df)
     scores = df.select(F.col(score).alias("_score")).distinct()
     bounds = slice_bounds(scores, "_score", slices)
     sliced = scores.withColumn("_slice", slice_number(bounds, F.col("_score")))
@@ -60,8 +67,10 @@ def top_dense_rank(df: DataFrame, group: str, score: str, rank: str, k: int) ->
     """Rows whose dense rank by ``score`` (descending) in ``group`` is at most ``k``.
 
     Ranks distinct (group, score) pairs, so a group that holds a large share of
-    the rows costs as many rows as it has different scores.
+    the rows costs as many rows as it has different scores. The scored rows
+    are used twice, so they are written once.
     """
+    df = cut_lineage(df)
     pairs = df.select(F.col(group).alias("_group"), F.col(score).alias("_score")).distinct()
     within = W.partitionBy("_group").orderBy(F.col("_score").desc_nulls_first())
     best = pairs.withColumn(rank, F.dense_rank().over(within)).filter(F.col(rank) <= k)

@@ -99,7 +99,10 @@ def event_chains(
     last = len(steps) - 1
     known = F.col(user).isNotNull() & F.col(time).isNotNull() & F.col(event_type).isin(list(steps))
     rows = events.filter(known).select(F.col(user).alias("user"), clock.alias("t"), step.cast("int").alias("step"))
-    rows = rows.withColumn("slice", F.floor(F.col("t") / width))
+    # The filter is implied; stated here, it is the same in both branches of the
+    # join below, so that they share one exchange of the events.
+    rows = rows.withColumn("slice", F.call_function("div", F.col("t"), F.lit(width)))
+    rows = rows.filter(F.col("slice").isNotNull())
 
     # Descending time makes "strictly later" a growing frame: one pass per step.
     later = W.partitionBy("user", "slice").orderBy((-F.col("t")).alias("desc")).rangeBetween(W.unboundedPreceding, -1)

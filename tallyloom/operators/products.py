@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exact import as_double, cents, percent
@@ -55,12 +56,16 @@ def category_revenue_share(
     """
     if statuses is not None:
         items = items.join(with_status(orders, statuses).select("order_id"), "order_id", "left_semi")
-    per_product = items.groupBy("product_id").agg(F.sum("total_sale").alias("sale"))
-    overall = per_product.agg(F.sum("sale").alias("overall")).scalar()
+    known = products.select("product_id", "category_id", F.lit(True).alias("known"))
     per_category = (
-        per_product.join(products.select("product_id", "category_id"), "product_id")
-        .groupBy("category_id")
+        items.groupBy("product_id")
+        .agg(F.sum("total_sale").alias("sale"))
+        .join(known, "product_id", "left")
+        .groupBy("category_id", "known")
         .agg(F.sum("sale").alias("total_sale"))
+        # One row per category, and one for unknown products, reach this window.
+        .withColumn("overall", F.sum("total_sale").over(W.partitionBy()))
+        .filter(F.col("known"))
     )
     return (
         per_category.join(category, "category_id", "left")
@@ -69,7 +74,7 @@ def category_revenue_share(
             "category_id",
             "category_name",
             as_double(F.col("total_sale")).alias("total_sale"),
-            percent(cents(F.col("total_sale")), cents(overall)).alias("pct_contribution"),
+            percent(cents(F.col("total_sale")), cents(F.col("overall"))).alias("pct_contribution"),
         )
     )
 

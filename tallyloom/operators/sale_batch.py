@@ -69,7 +69,9 @@ def apply_sales(
     ``strict``: it adds to the stock.
     """
     taken = {"order_id": orders} | ({} if items is None else {"order_item_id": items})
-    screened = _screen(requests.select(*_REQUEST), taken, customers, sellers, strict)
+    requests = requests.select(*_REQUEST)
+    turn_slice = slice_number(slice_bounds(requests, "seq"), F.col("seq"))
+    screened = cut_lineage(_screen(requests, taken, customers, sellers, strict).withColumn("slice", turn_slice))
     decided = cut_lineage(_decide(screened, products, inventory))
     accepted = decided.filter(F.col("outcome") == ACCEPTED)
 
@@ -121,9 +123,7 @@ def _screen(
 
 
 def _decide(screened: DataFrame, products: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Adds ``price`` and ``outcome`` to screened requests."""
-    bounds = slice_bounds(screened, "seq")
-    sliced = screened.withColumn("slice", slice_number(bounds, F.col("seq")))
+    """Adds ``price`` and ``outcome`` to screened, sliced requests."""
     competing = F.col("error").isNull()
     quantity = F.col("quantity")
 
@@ -131,7 +131,7 @@ def _decide(screened: DataFrame, products: DataFrame, inventory: DataFrame) -> D
     whole = W.partitionBy("product_id")
     stock = inventory.groupBy("product_id").agg(F.max("stock").alias("available"))
     offers = (
-        sliced.filter(competing)
+        screened.filter(competing)
         .groupBy("product_id", "slice")
         .agg(F.sum(F.greatest(quantity, F.lit(0))).alias("wanted"), F.sum(-F.least(quantity, F.lit(0))).alias("restocked"))
         .withColumn("wanted", F.sum("wanted").over(whole))
@@ -142,11 +142,11 @@ def _decide(screened: DataFrame, products: DataFrame, inventory: DataFrame) -> D
         .withColumn("all_fit", (F.col("available") >= 0) & (F.coalesce("wanted", F.lit(0)) <= F.col("available")))
         .drop("wanted", "restocked")
     )
-    offered = sliced.join(offers, ["product_id", "slice"], "left")
+    offered = screened.join(offers, ["product_id", "slice"], "left")
 
     # Stock falls throughout a stretch: it ends at a slice or at a negative quantity.
     in_slice = W.partitionBy("product_id", "slice")
-    stretch = F.sum(F.when(competing & (quantity < 0), 1).otherwise(0)).over(in_slice.orderBy("seq"))
+    stretch = F.sum(F.when(competing & (quantity < 0), 1).otherwise(0)).over(in_slice.orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
     same_size = W.partitionBy("product_id", "slice", "stretch", "quantity", "error").orderBy("seq")
     ruled = (
         offered.withColumn("stretch", stretch)

@@ -242,7 +242,7 @@ def _top_in_state(extra: str) -> str:
         f"""SELECT * FROM (
               SELECT state, first_name || ' ' || last_name AS customer, {extra} COUNT(order_id) AS total_orders,
                      CAST(SUM(total_sale) AS DOUBLE) AS total_sale,
-                     dense_rank() OVER (PARTITION BY state ORDER BY COUNT(order_id) DESC) AS rnk
+                     CAST(dense_rank() OVER (PARTITION BY state ORDER BY COUNT(order_id) DESC) AS INTEGER) AS rnk
               FROM fx_customers JOIN fx_orders USING (customer_id) JOIN fx_items USING (order_id)
               GROUP BY state, {extra} first_name, last_name)
             WHERE rnk <= 5""",
@@ -397,7 +397,7 @@ def _reference_audit() -> str:
 def _width_audit() -> str:
     rows = [
         f"""SELECT '{table}' AS table_name, '{column}' AS column_name, {width} AS max_length,
-                   COUNT(*) FILTER (length({column}) > {width}) AS too_long, MAX(length({column})) AS widest
+                   COUNT(*) FILTER (length({column}) > {width}) AS too_long, CAST(MAX(length({column})) AS INTEGER) AS widest
             FROM {_TABLES[table][0]}"""
         for table, column, width in _WIDTHS
     ]
@@ -422,7 +422,8 @@ ORACLE_SQL: dict[str, str] = {
         "fx_orders fx_items",
         """SELECT year, month, CAST(sale AS DOUBLE) AS current_month_sale,
                   CAST(LAG(sale, 1) OVER (ORDER BY year, month) AS DOUBLE) AS last_month_sale
-           FROM (SELECT year(order_date) AS year, month(order_date) AS month, SUM(total_sale) AS sale
+           FROM (SELECT CAST(year(order_date) AS INTEGER) AS year, CAST(month(order_date) AS INTEGER) AS month,
+                        SUM(total_sale) AS sale
                  FROM fx_orders JOIN fx_items USING (order_id)
                  WHERE order_date >= (SELECT MAX(order_date) - INTERVAL 1 YEAR FROM fx_orders)
                  GROUP BY ALL)""",
@@ -439,7 +440,7 @@ ORACLE_SQL: dict[str, str] = {
         "fx_orders fx_items fx_customers fx_products",
         """SELECT * FROM (
              SELECT state, category_name, CAST(SUM(total_sale) AS DOUBLE) AS total_sale,
-                    rank() OVER (PARTITION BY state ORDER BY SUM(total_sale) ASC NULLS LAST) AS rnk
+                    CAST(rank() OVER (PARTITION BY state ORDER BY SUM(total_sale) ASC NULLS LAST) AS INTEGER) AS rnk
              FROM fx_orders JOIN fx_customers USING (customer_id) JOIN fx_items USING (order_id)
              JOIN fx_products USING (product_id) JOIN fx_category USING (category_id)
              GROUP BY state, category_name) WHERE rnk = 1""",
@@ -453,7 +454,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "slow_shipping": _sql(
         "fx_ship fx_orders fx_customers",
-        """SELECT shipping_date - order_date AS days_to_ship, customer_id, first_name, last_name, order_id, order_date,
+        """SELECT CAST(shipping_date - order_date AS INTEGER) AS days_to_ship, customer_id, first_name, last_name, order_id, order_date,
                   order_status, shipping_providers
            FROM fx_ship JOIN fx_orders USING (order_id) JOIN fx_customers USING (customer_id)
            WHERE shipping_date - order_date >= 4""",

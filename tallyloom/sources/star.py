@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,9 +39,13 @@ class StarTables:
 
     spark: SparkSession
     folder: str
+    _sources: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # One DataFrame per file: its schema is read once.
+        if name not in self._sources:
+            self._sources[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._sources[name]
 
     @property
     def category(self) -> DataFrame:
