@@ -1,0 +1,122 @@
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.operators import funnel as f
+from tests.conftest import rows
+
+# Published status counts and the funnel that follows from them.
+STATUS_COUNTS = {"Completed": 17802, "Returned": 2840, "Inprogress": 499, "Cancelled": 488}
+PUBLISHED = [
+    ("Orders Placed", 1, 21629, None, None, 100.0, False),
+    ("Payment Successful", 2, 21141, 488, 97.74, 97.74, False),
+    ("Delivered", 3, 20642, 499, 97.64, 95.44, False),
+    ("Kept (Not Returned)", 4, 17802, 2840, 86.24, 82.31, False),
+]
+
+
+def orders_with(spark, counts):
+    frames = [spark.range(n).select(F.lit(s).cast("string").alias("order_status")) for s, n in counts.items()]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out.withColumn("order_id", F.monotonically_increasing_id())
+
+
+def test_fulfilment_as_published(spark):
+    orders = orders_with(spark, STATUS_COUNTS)
+    got = rows(f.fulfillment_funnel(orders))
+    assert [(*r[:2], *r[2:]) for r in got] == PUBLISHED
+    assert rows(f.order_completion_rate(orders)) == [(17802, 82.31)]
+
+
+def test_drop_offs_and_kept_add_up(spark):
+    got = rows(f.fulfillment_funnel(orders_with(spark, {"Completed": 5, "Returned": 2, "Cancelled": 4, None: 3})))
+    assert sum(r[3] or 0 for r in got) + got[-1][2] == got[0][2]
+    assert [r[2] for r in got] == [14, 7, 7, 5]
+
+
+def test_no_orders_and_only_cancelled(spark):
+    none = rows(f.fulfillment_funnel(orders_with(spark, {"Completed": 0})))
+    assert [r[2] for r in none] == [0, None, None, None] and [r[4] for r in none] == [None] * 4
+    failed = rows(f.fulfillment_funnel(orders_with(spark, {"Cancelled": 3})))
+    assert [r[2] for r in failed] == [3, 0, 0, 0]
+    assert [r[4] for r in failed] == [None, 0.0, None, None]
+
+
+STEPS = ["view", "cart", "checkout", "buy"]
+
+
+def by_hand(events, steps):
+    """The chain of every first-step event, by looking through the user's events."""
+    out = []
+    for user, t, kind in events:
+        if kind != steps[0] or user is None:
+            continue
+        chain, now = [user, t], t
+        for step in steps[1:]:
+            later = [x for u, x, k in events if u == user and k == step and now is not None and x > now]
+            now = min(later) if later else None
+            chain.append(now)
+        out.append(tuple(chain))
+    return sorted(out, key=repr)
+
+
+START = datetime(2024, 1, 1)
+
+
+def event_frame(spark, events, kind="timestamp_ntz"):
+    data = [(u, START + timedelta(microseconds=t), k) for u, t, k in events]
+    return spark.createDataFrame(data, f"user_id long, ts {kind}, event_type string")
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("steps", [STEPS[:2], STEPS[:3], STEPS])
+def test_chains_equal_search_by_hand(spark, steps, kind):
+    rng = random.Random(len(steps))
+    hour = 3_600_000_000
+    # One user has a third of the events; times repeat and lie on slice borders.
+    events = [
+        (
+            0 if rng.random() < 0.34 else rng.choice([1, 2, 3, 4, None]),
+            rng.choice([rng.randrange(60) * hour // 2, rng.randrange(30 * hour), rng.randrange(20) * hour - 1 if rng.random() < 0.9 else 0]),
+            rng.choice(STEPS + ["other"]),
+        )
+        for _ in range(400)
+    ]
+    events = [(u, max(t, 0), k) for u, t, k in events]
+    base = int((START - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    got = f.event_chains(event_frame(spark, events, kind), steps)
+    chains = [tuple([r[0], *(None if t is None else t - base for t in r[1:])]) for r in got.collect()]
+    assert sorted(chains, key=repr) == by_hand(events, steps)
+
+
+def funnel_counts(spark, events, hours=12):
+    steps = [(s, s) for s in STEPS[:3]]
+    return [(r["users"], r["attempts"]) for r in f.event_funnel(event_frame(spark, events), steps, hours).collect()]
+
+
+def test_gap_is_inclusive_and_strictly_later(spark):
+    gap = 12 * 3_600_000_000
+    events = [
+        (1, 0, "view"), (1, gap, "cart"), (1, 2 * gap, "checkout"),  # exactly at the gap, twice
+        (2, 0, "view"), (2, gap + 1, "cart"),  # a microsecond too late
+        (3, 5, "view"), (3, 5, "cart"),  # same time is not later
+        (4, 9, "cart"), (4, 10, "view"),  # out of order
+        (5, 0, "view"), (5, 1, "cart"), (5, 2, "cart"), (5, gap + 2, "checkout"),  # the first cart is taken
+    ]
+    assert funnel_counts(spark, events) == [(5, 5), (2, 2), (1, 1)]
+
+
+def test_repeated_first_steps_are_attempts(spark):
+    events = [(1, 0, "view"), (1, 1, "view"), (1, 2, "cart"), (2, 0, "view")]
+    assert funnel_counts(spark, events) == [(2, 3), (1, 2), (0, 0)]
+
+
+def test_empty_event_table(spark):
+    got = f.event_funnel(event_frame(spark, [(1, 0, "other")]), [("a", "view"), ("b", "cart")], 12)
+    assert [(r["users"], r["attempts"], r["conversion_from_previous_pct"]) for r in got.collect()] == [(0, 0, None), (0, 0, None)]

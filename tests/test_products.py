@@ -1,0 +1,109 @@
+from __future__ import annotations
+
+import pytest
+
+from tallyloom.operators import products as p
+from tests.conftest import day, rows
+
+
+@pytest.fixture(scope="module")
+def shop(make):
+    return {
+        "category": make("category", (1, "toys"), (2, "pets")),
+        "products": make(
+            "products",
+            (1, "ball", 10, 4, 1),
+            (2, "bat", 20, 8, 1),
+            (3, "leash", 5, None, 2),
+            (4, "loose", 1, 1, None),
+            (5, "unsold", 1, 1, 2),
+        ),
+        "orders": make(
+            "orders",
+            (1, "2022-02-01", 1, 1, "Completed"),
+            (2, "2022-12-31", 1, 1, "Returned"),
+            (3, "2023-01-01", 2, 1, "Cancelled"),
+            (4, "2023-06-01", 2, 1, None),
+        ),
+        "items": make(
+            "order_items",
+            (1, 1, 1, 3, 10, 30),
+            (2, 1, 2, 1, 20, 20),
+            (3, 2, 1, 1, 10, 10),
+            (4, 3, 1, 1, 10, 10),
+            (5, 3, 2, 1, 20, 20),
+            (6, 4, 3, 2, 5, 10),
+            (7, 4, 4, 1, 1, None),
+            (8, 99, 1, 1, 10, 500),
+            (9, 2, 77, 1, 1, 100),
+            (10, None, 1, 1, 10, 900),
+        ),
+    }
+
+
+def test_top_products_null_revenue_first_then_ties_by_id(shop):
+    got = rows(p.top_products(shop["orders"], shop["items"], shop["products"], k=3))
+    # Product 4 has only a NULL sale, which sorts first; lines of unknown orders do not count.
+    assert got == [(4, "loose", None, 1), (1, "ball", 50.0, 3), (2, "bat", 40.0, 2)]
+
+
+def test_top_products_tie_at_the_cut(make):
+    items = make("order_items", (1, 1, 3, 1, 5, 5), (2, 1, 2, 1, 5, 5), (3, 1, 1, 1, 5, 5))
+    orders = make("orders", (1, "2022-01-01", 1, 1, "Completed"))
+    products = make("products", (1, "a", 5, 1, 1), (2, "b", 5, 1, 1), (3, "c", 5, 1, 1))
+    assert [r[0] for r in rows(p.top_products(orders, items, products, k=2))] == [1, 2]
+
+
+def test_top_products_by_status(shop):
+    got = rows(p.top_products(shop["orders"], shop["items"], shop["products"], statuses=["Completed"]))
+    assert got == [(1, "ball", 30.0, 1), (2, "bat", 20.0, 1)]
+
+
+def test_category_share_counts_unknown_products_in_the_total(shop):
+    got = rows(p.category_revenue_share(shop["items"], shop["products"], shop["category"]))
+    # Total 1600: 1450 ball, 40 bat, 10 leash, 100 of product 77, nothing for the loose one.
+    assert got == [
+        (None, None, None, None),
+        (1, "toys", 1490.0, 93.13),
+        (2, "pets", 10.0, 0.63),
+    ]
+
+
+def test_category_share_of_no_items(shop):
+    assert rows(p.category_revenue_share(shop["items"].limit(0), shop["products"], shop["category"])) == []
+
+
+def test_margin_ranks_on_rounded_value(shop):
+    got = sorted(rows(p.product_margin_rank(shop["items"], shop["products"])))
+    # ball: 1450 revenue, 7 units at 4; bat: 40 revenue, 2 units at 8; no cost or no sale gives NULL, first.
+    assert got == [(1, "ball", 98.07, 2), (2, "bat", 60.0, 3), (3, "leash", None, 1), (4, "loose", None, 1)]
+
+
+def test_margin_skips_lines_without_quantity(make):
+    items = make("order_items", (1, 1, 1, 1, 10, 10), (2, 1, 1, None, 10, 10))
+    products = make("products", (1, "a", 10, 4, 1))
+    assert rows(p.product_margin_rank(items, products), "profit_margin") == [(30.0,)]
+
+
+def test_returned_products(shop):
+    got = rows(p.top_returned_products(shop["orders"], shop["items"], shop["products"], k=2))
+    assert got == [(1, "ball", 3, 1, 33.33), (2, "bat", 2, 0, 0.0)]
+
+
+def test_yoy_decline_needs_both_years(shop):
+    got = rows(p.yoy_decline(shop["orders"], shop["items"], shop["products"]))
+    # bat sold 20 in both years; leash only later; product 77 is unknown.
+    assert got == [(1, 40.0, 10.0, 30.0, 75.0)]
+    assert p.yoy_decline(shop["orders"], shop["items"], shop["products"]).columns[1:3] == ["revenue_2022", "revenue_2023"]
+
+
+def test_yoy_zero_revenue_before(make):
+    orders = make("orders", (1, "2022-05-05", 1, 1, "Completed"), (2, "2023-05-05", 1, 1, "Completed"))
+    items = make("order_items", (1, 1, 1, 1, 0, 0), (2, 2, 1, 1, -1, -1))
+    products = make("products", (1, "a", 1, 1, 1))
+    assert rows(p.yoy_decline(orders, items, products)) == [(1, 0.0, -1.0, 1.0, None)]
+
+
+def test_low_inventory(make, shop):
+    inventory = make("inventory", (1, 1, 9, 1, "2024-01-01"), (2, 2, 10, 1, "2024-01-01"), (3, 88, 1, 1, None), (4, 1, None, 1, None))
+    assert rows(p.low_inventory(inventory, shop["products"])) == [(1, "ball", 9, day("2024-01-01"), 1)]
