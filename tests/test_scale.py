@@ -59,14 +59,14 @@ def final_plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def skewed(spark, make, tmp_path_factory):
-    """Every third line is of order 1, customer 1 and product 1."""
+    """A third of the lines is of order 1, a third of product 1; a third of the orders is of customer 1."""
     n = 60_000
     hot = F.col("id") % 3 == 0
     folder = tmp_path_factory.mktemp("skewed")
     items = spark.range(0, n, 1, 12).select(
         F.col("id").alias("order_item_id"),
         F.when(hot, 1).otherwise(F.col("id") % 5000 + 2).alias("order_id"),
-        F.when(hot, 1).otherwise(F.col("id") % 300 + 2).alias("product_id"),
+        F.when(F.col("id") % 3 == 1, 1).otherwise(F.xxhash64("id") % 150 + 151).alias("product_id"),
         F.lit(1).alias("quantity"),
         F.lit(1).cast("decimal(18,2)").alias("price_per_unit"),
         (F.col("id") % 1000).cast("decimal(18,2)").alias("total_sale"),
