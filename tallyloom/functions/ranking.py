@@ -2,54 +2,71 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.session import cut_lineage
 
-SLICES = 256
+WIDTH = 32
+SLICES = WIDTH * WIDTH
 
 
-def slice_bounds(values: DataFrame, column: str, slices: int = SLICES) -> Column:
-    """Ascending cut points that split a numeric column into about equal slices.
+def slice_bounds(values: DataFrame, column: str) -> list[float]:
+    """Ascending cut points that split a numeric column into about ``SLICES`` equal slices.
 
-    One scalar subquery. The sketch steers balance only: any cut points give
-    the same result downstream.
+    One small row comes to the driver. As literals, the cut points are the same
+    wherever they are used; the sketch behind them steers balance only.
     """
-    cuts = [i / slices for i in range(1, slices)]
-    return values.agg(F.percentile_approx(F.col(column).cast("double"), cuts, 8 * slices).alias("bounds")).scalar()
+    cuts = _doubles([i / SLICES for i in range(1, SLICES)])
+    found = values.agg(F.percentile_approx(F.col(column).cast("double"), cuts, 4 * SLICES)).first()[0]
+    return [v if math.isfinite(v) else math.copysign(sys.float_info.max, v) for v in found or [0.0] * (SLICES - 1)]
+
+
+def _doubles(values: list[float]) -> Column:
+    """An array literal, in one call instead of one per value."""
+    return F.expr(f"array({', '.join(f'{v!r}D' for v in values)})")
 
 
-def slice_number(bounds: Column, value: Column) -> Column:
+def slice_number(bounds: list[float], value: Column) -> Column:
     """How many cut points lie below ``value``, plus one; 0 for NULL.
 
     Grows with ``value``, so the order of slices is the order of values. As a
-    double, a value keeps its order, and the search runs on primitive arrays.
+    double, a value keeps its order. Two short searches, first for the block of
+    cut points and then inside it, take the place of one long one.
     """
-    # Never NULL inside the array: that keeps it a primitive one.
     number = F.coalesce(value.cast("double"), F.lit(0.0))
-    place = F.array_position(F.sort_array(F.concat(bounds, F.array(number))), number)
-    return F.when(value.isNull(), F.lit(0).cast("long")).otherwise(F.coalesce(place, F.lit(0).cast("long")))
+    heads = _doubles(bounds[WIDTH - 1 :: WIDTH])
+    block = _below(heads, number)
+    blocks = F.array(*(_doubles(bounds[i : i + WIDTH - 1]) for i in range(0, SLICES, WIDTH)))
+    within = _below(F.get(blocks, block.cast("int")), number)
+    return (block * WIDTH + within + 1) * value.isNotNull().cast("long")
+
+
+def _below(sorted_values: Column, value: Column) -> Column:
+    """How many entries of a sorted array are smaller than ``value``."""
+    return F.array_position(F.sort_array(F.concat(sorted_values, F.array(value))), value) - 1
 
 
-def global_dense_rank(df: DataFrame, score: str, rank: str, slices: int = SLICES) -> DataFrame:
+def global_dense_rank(df: DataFrame, score: str, rank: str) -> DataFrame:
     """``dense_rank() over (order by score desc nulls first)`` over the whole frame.
 
     An unpartitioned window would sort every row in one task. Here the distinct
     scores are cut into value slices, ranked within their slice, shifted by the
-    number of scores in the slices above (at most ``slices + 1`` rows), and
+    number of scores in the slices above (at most ``SLICES + 1`` rows), and
     joined back. A score shared by many rows is one row until the join, where
     its partition can be split. The scored rows are used four times, so they
     are written once.
     """
     df = cut_lineage(df)
     scores = df.select(F.col(score).alias("_score")).distinct()
-    bounds = slice_bounds(scores, "_score", slices)
-    sliced = scores.withColumn("_slice", slice_number(bounds, F.col("_score")))
+    sliced = scores.withColumn("_slice", slice_number(slice_bounds(scores, "_score"), F.col("_score")))
 
     # NULL has slice 0, the lowest number, but ranks first.
-    order = F.when(F.col("_slice") == 0, F.lit(slices + 1)).otherwise(F.col("_slice"))
+    order = F.when(F.col("_slice") == 0, F.lit(SLICES + 1)).otherwise(F.col("_slice"))
     above = W.orderBy(order.desc()).rowsBetween(W.unboundedPreceding, -1)
     shifts = (
         sliced.groupBy("_slice")

@@ -22,6 +22,24 @@ from tallyloom.model import (
     SHIPPED,
 )
 
+# Declared, so that no file is opened to find out.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 def _order_status() -> Column:
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
@@ -42,9 +60,8 @@ class StarTables:
     _sources: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def source(self, name: str) -> DataFrame:
-        # One DataFrame per file: its schema is read once.
         if name not in self._sources:
-            self._sources[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._sources[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
         return self._sources[name]
 
     @property
@@ -199,18 +216,15 @@ class StarTables:
         some requests repeat one.
         """
         line_key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+        # An order has one line per number, or a few on these tables.
+        repeats = W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_shipdate")
         buyer = self.source("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"))
-        number = (
-            line_key.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
-            + F.col("l_partkey") * 10**6
-            + F.col("l_quantity").cast("long") * 10**4
-            + F.date_diff(F.to_date("l_shipdate"), F.to_date(F.lit("1990-01-01")))
-        )
         return (
             self.source("lineitem")
+            .withColumn("repeat", F.row_number().over(repeats))
             .join(buyer, "l_orderkey")
             .select(
-                number.cast("decimal(38,0)").alias("seq"),
+                (line_key * 10**6 + F.col("repeat")).alias("seq"),
                 (line_key + 10**12).alias("order_id"),
                 (line_key + 10**12).alias("order_item_id"),
                 "customer_id",

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.joins import spread_lookup
-from tallyloom.functions.ranking import global_dense_rank, top_dense_rank
+from tallyloom.functions.ranking import SLICES, global_dense_rank, slice_bounds, slice_number, top_dense_rank
 from tests.conftest import rows
 
 
@@ -23,14 +23,22 @@ def scored(spark, n, kinds, seed=1):
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
-@pytest.mark.parametrize("slices", [2, 16, 256])
-def test_global_dense_rank_equals_window(spark, partitions, slices):
-    df = scored(spark, 1500, 400).repartition(partitions)
+@pytest.mark.parametrize("kinds", [1, 40, 5000])
+def test_global_dense_rank_equals_window(spark, partitions, kinds):
+    df = scored(spark, 3000, kinds).repartition(partitions)
     want = df.withColumn("r", F.dense_rank().over(W.orderBy(F.col("s").desc_nulls_first())))
-    got = global_dense_rank(df, "s", "r", slices)
+    got = global_dense_rank(df, "s", "r")
     assert sorted(rows(got, "id", "r")) == sorted(rows(want, "id", "r"))
 
 
+def test_slice_numbers_count_the_cut_points_below(spark):
+    values = spark.createDataFrame([(None,)] + [(v / 3,) for v in range(-300, 3000)], "v double")
+    bounds = slice_bounds(values, "v")
+    assert len(bounds) == SLICES - 1 and bounds == sorted(bounds)
+    for v, n in rows(values.select("v", slice_number(bounds, F.col("v")))):
+        assert n == (0 if v is None else sum(b < v for b in bounds) + 1)
+
+
 def test_global_dense_rank_of_nothing_and_of_one_value(spark):
     df = scored(spark, 10, 5)
     assert rows(global_dense_rank(df.filter("id < 0"), "s", "r")) == []
