@@ -619,6 +619,14 @@ ORACLE_SQL: dict[str, str] = {
            LEFT JOIN (SELECT product_id, SUM(quantity) AS used FROM outcomes WHERE outcome = 'accepted'
                       GROUP BY product_id) AS u ON u.product_id = i.product_id""",
     ),
+    "csv_ingest_customers": _sql("fx_customers", "SELECT * FROM fx_customers"),
+    "csv_ingest_orders": _sql("fx_orders", "SELECT * FROM fx_orders"),
+    "csv_ingest_order_items": _sql(
+        "fx_items",
+        """SELECT order_item_id, order_id, product_id, quantity, CAST(total_sale AS DOUBLE) AS price_per_unit,
+                  CAST(quantity * total_sale AS DOUBLE) AS total_sale
+           FROM fx_items""",
+    ),
     "load_audit": _load_audit(),
     "primary_key_audit": _key_audit(),
     "foreign_key_audit": _reference_audit(),

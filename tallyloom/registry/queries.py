@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import customers as c
@@ -16,6 +17,8 @@ from tallyloom.operators import quality as q
 from tallyloom.operators import retention as r
 from tallyloom.operators import sales as s
 from tallyloom.operators.sale_batch import SaleBatch, apply_sales
+from tallyloom.session import scratch_path
+from tallyloom.sources.raw_csv import read_table
 from tallyloom.sources.star import StarTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +50,29 @@ def _sale_batch(t: StarTables) -> SaleBatch:
     )
 
 
+def _through_csv(t: StarTables, table: str, columns: dict[str, Column], df: DataFrame) -> DataFrame:
+    """The whole table written as raw CSV and ingested again."""
+    path = scratch_path(t.spark) or tempfile.mkdtemp(prefix="tallyloom-") + "/raw"
+    df.select(*(column.alias(header) for header, column in columns.items())).write.csv(path, header=True)
+    read = read_table(t.spark, table, path)
+    money = {name: F.col(name).cast("double") for name, kind in read.dtypes if kind.startswith("decimal")}
+    return read.withColumns(money) if money else read
+
+
+def _csv_customers(t: StarTables) -> DataFrame:
+    headers = {"state": "state", "Customer ID": "customer_id", " last_name ": "last_name", "first_name": "first_name"}
+    return _through_csv(t, "customers", {h: F.col(c) for h, c in headers.items()}, t.customers)
+
+
+def _csv_orders(t: StarTables) -> DataFrame:
+    return _through_csv(t, "orders", {c: F.col(c) for c in t.orders.columns}, t.orders)
+
+
+def _csv_order_items(t: StarTables) -> DataFrame:
+    columns = {c: F.col(c) for c in ("order_item_id", "order_id", "product_id", "quantity")}
+    return _through_csv(t, "order_items", columns | {"price_per_unit": F.col("total_sale")}, t.items)
+
+
 def _readout(t: StarTables) -> DataFrame:
     row = e.ab_test_readout(t.attempts, "arm", "success", CHECKOUT_TEST)
     return row.withColumn("p_value", F.round("p_value", 10))
@@ -117,6 +143,10 @@ _ON_TABLES: dict[str, Callable[[StarTables], DataFrame]] = {
         {"price_per_unit": F.col("price_per_unit").cast("double"), "total_sale": F.col("total_sale").cast("double")}
     ),
     "apply_sales_inventory": lambda t: _sale_batch(t).inventory,
+    # ingest
+    "csv_ingest_customers": _csv_customers,
+    "csv_ingest_orders": _csv_orders,
+    "csv_ingest_order_items": _csv_order_items,
     # data quality
     "load_audit": lambda t: q.load_audit(t.model_tables()),
     "primary_key_audit": lambda t: q.primary_key_audit(t.model_tables()),

@@ -36,18 +36,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+def scratch_path(spark: SparkSession) -> str | None:
+    """A new path in the shared checkpoint folder; None where the session names no folder.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return None if folder is None else f"{folder.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a lost
-    executor costs no recomputation beyond the table. Parquet keeps column
-    pruning, which a checkpointed RDD has not. A session without a folder gets
-    ``df`` back unchanged: the same result, recomputed by each consumer.
+    A lost executor then costs no recomputation beyond the table, and several
+    consumers share one computation. Parquet keeps column pruning, which a
+    checkpointed RDD has not. A session without a folder gets ``df`` back
+    unchanged: the same result, recomputed by each consumer.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
+    path = scratch_path(df.sparkSession)
+    if path is None:
         return df
-    path = f"{folder.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

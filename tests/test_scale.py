@@ -155,3 +155,16 @@ def test_event_slices_share_one_scan(spark, settings, tmp_path):
     steps = [("v", "view"), ("c", "cart"), ("b", "buy")]
     plan = final_plan(f.event_funnel(spark.read.parquet(f"{tmp_path}/events"), steps, 12))
     assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_filters_and_columns_reach_the_scan(skewed, settings, tmp_path, make, spark):
+    settings(NO_BROADCAST)
+    plan = final_plan(p.yoy_decline(skewed["orders"], skewed["items"], skewed["products"]))
+    assert re.search(r"PushedFilters: \[[^\n]*GreaterThanOrEqual\(order_date,2022-01-01\)", plan)
+    assert "ReadSchema: struct<order_id:bigint,product_id:bigint,total_sale:decimal(18,2)>" in plan
+    make("inventory", (1, 1, 9, 1, None)).write.parquet(f"{tmp_path}/inventory")
+    plan = final_plan(p.low_inventory(spark.read.parquet(f"{tmp_path}/inventory"), skewed["products"]))
+    assert "LessThan(stock,10)" in plan
+    plan = final_plan(r.cohort_retention(skewed["orders"]))
+    assert "Not(EqualTo(order_status,Cancelled))" in plan
+    assert "ReadSchema: struct<order_date:date,customer_id:bigint,order_status:string>" in plan
