@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.ngram_join import JaccardRule, linked_sets
 from tallyloom.llm.oracle import ORACLE_SQL
 from tallyloom.llm.secret_scan import secret_digest
 from tallyloom.llm.tables import table
@@ -19,6 +20,12 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return linked_sets(docs, JaccardRule(words=4, num=85, den=100)).withColumnRenamed("n", "n_shingles")
+
+
 QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
+    "op8_ngram_join": op8_ngram_join,
 }
