@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.bpe import encode_documents
 from tallyloom.llm.ngram_join import JaccardRule, linked_sets
 from tallyloom.llm.oracle import ORACLE_SQL
 from tallyloom.llm.secret_scan import secret_digest
@@ -16,6 +18,13 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(table(spark, folder, "documents", "doc_id", "text"), VOCABULARY)
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -26,6 +35,7 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op8_ngram_join": op8_ngram_join,
 }
