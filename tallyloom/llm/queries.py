@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom.llm.bpe import encode_documents
 from tallyloom.llm.ngram_join import JaccardRule, linked_sets
 from tallyloom.llm.oracle import ORACLE_SQL
+from tallyloom.llm.quality import quality_scores
 from tallyloom.llm.secret_scan import secret_digest
 from tallyloom.llm.tables import table
 
@@ -29,6 +30,12 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(
+        table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality")
+    )
+
+
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return linked_sets(docs, JaccardRule(words=4, num=85, den=100)).withColumnRenamed("n", "n_shingles")
@@ -37,5 +44,6 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op3_secret_scan": op3_secret_scan,
+    "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
 }
