@@ -13,6 +13,7 @@ from tallyloom.llm.oracle import ORACLE_SQL
 from tallyloom.llm.quality import quality_scores
 from tallyloom.llm.secret_scan import secret_digest
 from tallyloom.llm.tables import table
+from tallyloom.llm.tiling import benchmark_leaks
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -30,6 +31,12 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_leaks(
+        table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text")
+    )
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality")
@@ -44,6 +51,7 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op3_secret_scan": op3_secret_scan,
+    "op4_decontamination": op4_decontamination,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
 }
