@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.bpe import encode_documents
+from tallyloom.llm.fingerprints import fingerprint_with_edits
 from tallyloom.llm.ngram_join import JaccardRule, linked_sets
 from tallyloom.llm.oracle import ORACLE_SQL
 from tallyloom.llm.quality import quality_scores
@@ -48,10 +49,15 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked_sets(docs, JaccardRule(words=4, num=85, den=100)).withColumnRenamed("n", "n_shingles")
 
 
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_with_edits(table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
+    "op10_fingerprints": op10_fingerprints,
 }

@@ -21,16 +21,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; forgets them all when there are too many."""
+    """64-bit hashes of words, as eight bytes; forgets them all when there are too many."""
 
     def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        self[word] = value = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
         return value
 
 
@@ -40,7 +40,7 @@ def ascii_words(text: str | None) -> list[bytes]:
 
 
 def hashed(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.frombuffer(b"".join(map(hashes.__getitem__, words)), "<u8").astype(np.uint64, copy=False)
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
