@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.bpe import encode_documents
 from tallyloom.llm.fingerprints import fingerprint_with_edits
+from tallyloom.llm.html_extract import fit_pages, page_texts
 from tallyloom.llm.ngram_join import JaccardRule, linked_sets
 from tallyloom.llm.oracle import ORACLE_SQL
 from tallyloom.llm.quality import quality_scores
@@ -49,6 +50,11 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked_sets(docs, JaccardRule(words=4, num=85, den=100)).withColumnRenamed("n", "n_shingles")
 
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    return page_texts(pages, fit_pages(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -59,5 +65,6 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
+    "op9_html_text": op9_html_text,
     "op10_fingerprints": op10_fingerprints,
 }
