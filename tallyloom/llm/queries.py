@@ -14,6 +14,7 @@ from tallyloom.llm.ngram_join import JaccardRule, linked_sets
 from tallyloom.llm.oracle import ORACLE_SQL
 from tallyloom.llm.quality import quality_scores
 from tallyloom.llm.secret_scan import secret_digest
+from tallyloom.llm.suffix_dedup import without_repeats
 from tallyloom.llm.tables import table
 from tallyloom.llm.tiling import benchmark_leaks
 
@@ -39,6 +40,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
