@@ -25,11 +25,12 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from tallyloom.llm.tables import text_or_empty
+from tallyloom.llm.tables import map_slices, text_or_empty
 
 _NO_MERGE = 1 << 60
 _PLACE = (1 << 32) - 1
@@ -120,7 +121,7 @@ class _Words(dict):
 class WordBpe:
     """Encoder and decoder of a vocabulary file of the word-end kind."""
 
-    def __init__(self, path: str, remembered: int = 400_000) -> None:
+    def __init__(self, path: str, remembered: int = 300_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -220,11 +221,11 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                     hashlib.sha256(packed).hexdigest(),
                     hashlib.sha256(decoded.encode("utf-8")).hexdigest(),
                 )
-                rows.append((*row, list(ids), decoded) if with_ids else row)
+                rows.append((*row, np.frombuffer(packed, "<u4").astype(np.int32), decoded) if with_ids else row)
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_ids else 3]
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
     chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return chosen.mapInPandas(run, schema)
+    return map_slices(chosen, run, schema)

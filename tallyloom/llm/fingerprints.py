@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.tables import partitions, text_or_empty
+from tallyloom.llm.tables import map_slices, partitions, text_or_empty
 from tallyloom.llm.words import WordHashes, ascii_words, hashed, mix, rolling
 
 SAMPLES = 64
@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             )
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return chosen.mapInPandas(run, "doc_id long, fingerprint string")
+    return map_slices(chosen, run, "doc_id long, fingerprint string")
 
 
 _RESULT = (
@@ -195,7 +195,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     own = F.struct(F.coalesce(part, F.lit(-1)).cast("int").alias("slice"), F.lit(False).alias("lead_in"))
     no_id = F.struct((-1 - F.pmod(F.xxhash64("text"), F.lit(n))).cast("int").alias("slice"), F.lit(False).alias("lead_in"))
     also = F.struct(sent.alias("slice"), F.lit(True).alias("lead_in"))
-    return (
+    sliced = (
         chosen.withColumn(
             "to",
             F.explode(
@@ -205,5 +205,5 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         .select("to.slice", "to.lead_in", "doc_id", "text")
         .repartition(n, "slice")
         .sortWithinPartitions("slice", F.desc("lead_in"), "doc_id", "text")
-        .mapInPandas(_stream, _RESULT)
     )
+    return map_slices(sliced, _stream, _RESULT)

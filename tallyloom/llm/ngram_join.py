@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import connected_components
-from tallyloom.llm.tables import partitions
+from tallyloom.llm.tables import map_slices, partitions
 from tallyloom.llm.words import WordHashes, ascii_words, mix, shingle_set
 from tallyloom.session import cut_lineage
 
@@ -351,7 +351,7 @@ def linked_sets(docs: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataF
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_buckets = max(partitions(spark), 1)
-    packed = docs.mapInPandas(_pack(rule, n_buckets), _PACKED)
+    packed = map_slices(docs, _pack(rule, n_buckets), _PACKED, rows=2048)
     raw = cut_lineage(packed.groupBy("bucket").applyInPandas(_unpack, _UNPACKED))
     info = raw.filter(F.col("gid").isNull()).select("doc_id", "node", "n")
     known = info.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -364,9 +364,9 @@ def linked_sets(docs: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataF
         .join(classes.select("node"), "node", "left_semi")
     )
     wanted = members.select("node").distinct().join(classes, "node").select(F.col("least_id").alias("doc_id")).distinct()
+    member_docs = docs.join(wanted, "doc_id", "left_semi")
     grams = (
-        docs.join(wanted, "doc_id", "left_semi")
-        .mapInPandas(_grams_of(rule), "node long, grams binary")
+        map_slices(member_docs, _grams_of(rule), "node long, grams binary")
         .groupBy("node")
         .agg(F.first("grams").alias("grams"))
     )

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.tables import text_or_empty
+from tallyloom.llm.tables import map_slices, text_or_empty
 from tallyloom.session import cut_lineage
 
 PART = 500
@@ -212,7 +212,7 @@ def reply_order(messages: DataFrame) -> DataFrame:
         F.col("role").cast("string").alias("role"),
         text_or_empty().alias("text"),
     )
-    parsed = cut_lineage(chosen.mapInPandas(_parse, _PARSED))
+    parsed = cut_lineage(map_slices(chosen, _parse, _PARSED))
     parents = cut_lineage(_parents(parsed))
     roots = _roots(parents)
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()

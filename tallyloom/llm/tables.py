@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Rows that are Python objects at one time; an Arrow batch has many more.
+SLICE = 512
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -18,3 +27,18 @@ def text_or_empty(column: str = "text") -> Column:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_slices(
+    df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = SLICE
+) -> DataFrame:
+    """``df.mapInPandas(run, schema)`` with frames of at most ``rows`` rows, to bound a task's memory."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.slice(at, rows).to_pandas() for b in batches for at in range(0, b.num_rows, rows))
+        for out in run(parts):
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(sliced, schema)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.tables import text_or_empty
+from tallyloom.llm.tables import map_slices, text_or_empty
 from tallyloom.llm.words import WordHashes, hashed, rolling
 from tallyloom.session import cut_lineage
 
@@ -199,11 +199,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = Ti
         )
     )
     bits = _bit_array(items)
-    hits = cut_lineage(
-        docs.filter(F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-        .mapInPandas(_hits(rule, bits), "doc_id long, stretches binary, seeds array<long>")
+    named = docs.filter(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")
     )
+    hits = cut_lineage(map_slices(named, _hits(rule, bits), "doc_id long, stretches binary, seeds array<long>"))
     of_items = items.select("item_id", "n_words", F.explode("seeds").alias("seed"))
     of_docs = hits.select("doc_id", F.explode("seeds").alias("seed")).distinct()
     pairs = (
