@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.bpe import encode_documents
+from tallyloom.llm.chaining import repeated_passages
 from tallyloom.llm.fingerprints import fingerprint_with_edits
 from tallyloom.llm.html_extract import fit_pages, page_texts
 from tallyloom.llm.ngram_join import JaccardRule, linked_sets
 from tallyloom.llm.oracle import ORACLE_SQL
 from tallyloom.llm.quality import quality_scores
+from tallyloom.llm.quotes import chat_texts
 from tallyloom.llm.secret_scan import secret_digest
 from tallyloom.llm.suffix_dedup import without_repeats
 from tallyloom.llm.tables import table
@@ -30,6 +32,10 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents", "doc_id", "text"), VOCABULARY)
 
 
+def op2_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_texts(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -44,6 +50,10 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op6_chained_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(
         table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality")
@@ -66,9 +76,11 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op2_quote_links": op2_quote_links,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_chained_passages": op6_chained_passages,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
