@@ -1,13 +1,19 @@
 """Jaccard self-join on word n-grams by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes. Sets of similar size
-share a cut of that order into F fragments (hash ranges); a set's part in a fragment is
-its segment. Two linked sets differ in at most D n-grams, D following from their sizes,
-and each difference spoils one fragment at most. So with F > D they agree on a whole
-segment, and only sets that share a segment are compared.
+The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments
+(hash ranges); a set's part in a fragment is its segment.
 
-*Sizes.* Size classes are so wide that a linked pair lies in one class or in two
-neighbouring ones; a set is cut by the pivots of its own class and of the class below.
+*First half.* Over the lower half of the order it is counted how many of a set's n-grams
+any other set has. A linked partner lacks at most (1 - t) of the set, so a set of which
+more is met nowhere else in that half has no partner. Most sets end here, however many
+common passages they hold. An n-gram met twice within a batch is settled there and goes
+on once, so a common one is a row per batch, not per document.
+
+*Segments.* The others of similar size share a cut into F fragments. Two linked sets
+differ in at most D n-grams, D following from their sizes, and each difference spoils one
+segment at most; with F > D they agree on a whole segment, and only sets that share a
+segment are compared. Size classes are so wide that a linked pair lies in one class or in
+two neighbouring ones; a set is cut for its own class and for the one below.
 
 *Empty segments* say nothing and are not used. F is D + 1 + slack, so a linked pair
 agrees on at least 1 + slack segments; a set with at most ``slack`` empty ones therefore
@@ -15,18 +21,21 @@ meets its partner in one that is not. A set with more is cut again with the hash
 anew, and so on until a cut is full enough; a partner that needs fewer cuts made those
 too. Nothing is lost.
 
-*Volume.* Segment signatures travel as packed arrays, one row per task and bucket. Equal
-sets are one node. A bucket reports each group of nodes with a common segment once.
+*Comparison.* Groups with a common segment that overlap form candidate components. A
+component, or, where that costs less, each of its groups, is compared in blocks of
+``BLOCK`` sets against blocks; a block pair counts partial overlaps fragment by fragment
+(columns of an incidence matrix, cut by hash order), sums them per pair and returns a
+spanning forest of the links, never the pairs. A large group of near copies thus costs
+block pairs, spread over tasks.
 
-*Comparison.* Groups that overlap form candidate components. A component, or, where that
-costs less, each of its groups, is compared in blocks of ``BLOCK`` sets against blocks; a
-block pair counts partial overlaps fragment by fragment (columns of an incidence matrix,
-cut by hash order), sums them per pair and returns a spanning forest of the links, never
-the pairs. A large group of near copies thus costs block pairs, spread over tasks.
+Hashes travel as packed arrays, one row per task and bucket. Equal sets are one node.
+Texts are never shuffled: later passes read them again and skip by a bit array those
+that take no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import connected_components
-from tallyloom.llm.tables import map_slices, partitions
+from tallyloom.llm.tables import map_slices, may_be_in, partitions, without
 from tallyloom.llm.words import WordHashes, ascii_words, mix, shingle_set
 from tallyloom.session import cut_lineage
 
@@ -50,12 +59,27 @@ _CUT_SEEDS = tuple(int(x) for x in mix(np.arange(1, 65, dtype=np.uint64)))
 
 @dataclass(frozen=True)
 class JaccardRule:
-    """Sets of ``words``-word shingles link if ``den * intersection >= num * union``."""
+    """Sets of ``words``-word shingles link if ``den * intersection >= num * union``.
+
+    num / den is 0.75 or more: below, segments would be too small to be full.
+    """
 
     words: int = 5
     num: int = 80
     den: int = 100
 
+    def __post_init__(self) -> None:
+        if not 3 * self.den <= 4 * self.num <= 4 * self.den:
+            raise ValueError("num / den must lie between 0.75 and 1")
+
+    @property
+    def slack(self) -> float:
+        """Spare segments per needed one: somewhat more than are empty in the smallest set of a class."""
+        t, share = self.num / self.den, 1 / 24
+        while t < 1 and share < 1.1 * (1 + share) * math.exp(-t * t / (1 - t) / (1 + share)) + 0.01:
+            share += 1 / 96
+        return share
+
     def most_different(self, a: int, b: int) -> int:
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
@@ -78,7 +102,7 @@ def _cut(rule: JaccardRule, first: int, after: int) -> tuple[int, int]:
     most = rule.most_different(after - 1, rule.largest_partner(after - 1))
     if most == 0:
         return 0, 0
-    slack = (most + 1) // 24
+    slack = math.ceil((most + 1) * rule.slack) if most > 8 else 0
     return most + 1 + slack, slack
 
 
@@ -116,34 +140,120 @@ def node_of(grams: np.ndarray) -> np.uint64:
     return value or np.uint64(1)
 
 
-def _bucket_rows(keys, nodes, info, buckets: int) -> pd.DataFrame:
-    """Packed arrays per bucket: (key, node) pairs by key, documents by node."""
+def _dealt(to: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions) of the buckets that get something; positions ascend."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        if cuts[b] < cuts[b + 1]:
+            yield b, order[cuts[b] : cuts[b + 1]]
 
-    def dealt(by: np.ndarray, *columns: np.ndarray) -> dict[int, list[bytes]]:
-        to = (by % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        return {
-            b: [c[order[cuts[b] : cuts[b + 1]]].tobytes() for c in columns]
-            for b in range(buckets)
-            if cuts[b] < cuts[b + 1]
-        }
 
-    pairs = dealt(mix(keys), keys, nodes)
-    docs = dealt(info[0], *info)
-    rows = [
-        (b, *pairs.get(b, (b"", b"")), *docs.get(b, (b"", b"", b"", b""))) for b in sorted(pairs.keys() | docs.keys())
-    ]
-    return pd.DataFrame(rows, columns=["bucket", "keys", "nodes", "d_node", "d_id", "d_null", "d_n"])
+def _sets(pdf: pd.DataFrame, rule: JaccardRule, hashes: WordHashes) -> Iterator[np.ndarray]:
+    for text in pdf["text"]:
+        yield shingle_set(ascii_words(text), rule.words, hashes)
 
 
-_PACKED = "bucket int, keys binary, nodes binary, d_node binary, d_id binary, d_null binary, d_n binary"
-_UNPACKED = "gid long, node long, doc_id long, n long"
+_HALF = np.uint64(1 << 63)
+_COUNTED = "bucket int, high binary, low binary, nodes binary, times binary, documents binary"
+_DOCUMENT = np.dtype(
+    [("node", "<u8"), ("doc_id", "<i8"), ("no_id", "<i8"), ("n", "<i8"), ("half", "<i8"), ("met", "<i8")]
+)
+_MET = "node long, doc_id long, n long, half long, met long"
 
 
-def _sets(pdf: pd.DataFrame, rule: JaccardRule, hashes: WordHashes) -> Iterator[np.ndarray]:
-    for text in pdf["text"]:
-        yield shingle_set(ascii_words(text), rule.words, hashes)
+def _count_pack(rule: JaccardRule, buckets: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = pdf["doc_id"]
+            documents = np.zeros(len(pdf), _DOCUMENT)
+            documents["no_id"] = ids.isna().to_numpy()
+            documents["doc_id"] = ids.fillna(0).to_numpy().astype(np.int64)
+            parts, seen = [], {}
+            for i, grams in enumerate(_sets(pdf, rule, hashes)):
+                node = node_of(grams)
+                half = grams[: np.searchsorted(grams, _HALF)]
+                documents[["node", "n", "half"]][i] = (node, len(grams), len(half))
+                # Equal sets of a batch are one.
+                if int(node) not in seen:
+                    seen[int(node)] = len(parts)
+                    parts.append(half)
+            nodes = np.array(list(seen), np.uint64)
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            key = np.concatenate(parts) >> np.uint64(23)
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+            counts = np.diff(np.append(starts, len(key)))
+            shared = np.repeat(counts > 1, counts)
+            met = np.bincount(owner[shared], minlength=len(parts))
+            documents["met"] = met[[seen[int(v)] for v in documents["node"]]]
+            # What only one set of the batch has asks for an answer; of the rest one row says that it is there.
+            single = starts[counts == 1]
+            several = starts[counts > 1]
+            k = np.concatenate((key[single], key[several]))
+            o = np.concatenate((owner[single], np.full(len(several), -1)))
+            by_owner = np.argsort(o, kind="stable")
+            k, o = k[by_owner], o[by_owner]
+            rows = {}
+            for b, at in _dealt((mix(k) % np.uint64(buckets)).astype(np.int64), buckets):
+                own, times = np.unique(o[at], return_counts=True)
+                names = np.where(own < 0, np.uint64(0), nodes[np.maximum(own, 0)]) if len(nodes) else own
+                rows[b] = [
+                    (k[at] >> np.uint64(32)).astype(np.uint8).tobytes(),
+                    k[at].astype(np.uint32).tobytes(),
+                    names.astype(np.uint64).tobytes(),
+                    times.astype(np.uint32).tobytes(),
+                    b"",
+                ]
+            for b, at in _dealt((documents["node"] % np.uint64(buckets)).astype(np.int64), buckets):
+                rows.setdefault(b, [b""] * 5)[4] = documents[at].tobytes()
+            yield pd.DataFrame([(b, *row) for b, row in rows.items()], columns=[c.split()[0] for c in _COUNTED.split(", ")])
+
+    return run
+
+
+def _count(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per node how many of its n-grams in the bucket others have too; and the documents."""
+    high = np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64)
+    key = (high << np.uint64(32)) | np.frombuffer(b"".join(pdf["low"]), np.uint32)
+    node = np.repeat(np.frombuffer(b"".join(pdf["nodes"]), np.uint64), np.frombuffer(b"".join(pdf["times"]), np.uint32))
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    if len(key):
+        # The mark that a batch has several sets with an n-gram stands for two.
+        weight = np.where(node == 0, 2, 1)
+        weight[1:][(key[1:] == key[:-1]) & (node[1:] == node[:-1])] = 0
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        total = np.repeat(np.add.reduceat(weight, starts), np.diff(np.append(starts, len(key))))
+        found = (total > 1) & (weight == 1)
+        names, met = np.unique(node[found], return_counts=True)
+    else:
+        names, met = np.empty(0, np.uint64), np.empty(0, np.int64)
+    documents = np.frombuffer(b"".join(pdf["documents"]), _DOCUMENT)
+    n = len(names)
+
+    def column(first: np.ndarray | list, second) -> pd.Series:
+        return pd.concat([pd.Series(first, dtype="Int64"), pd.Series(second, dtype="Int64")], ignore_index=True)
+
+    doc_id = pd.array(documents["doc_id"].copy(), "Int64")
+    doc_id[documents["no_id"] == 1] = pd.NA
+    return pd.DataFrame(
+        {
+            "node": np.concatenate([_signed(names), _signed(np.ascontiguousarray(documents["node"]))]),
+            "doc_id": column([pd.NA] * n, doc_id),
+            "n": column(np.full(n, -1), documents["n"].copy()),
+            "half": column([pd.NA] * n, documents["half"].copy()),
+            "met": column(met, documents["met"].copy()),
+        }
+    )
+
+
+_PACKED = "bucket int, keys binary, nodes binary, times binary"
+_GROUPED = "gid long, node long"
 
 
 def _pack(rule: JaccardRule, buckets: int):
@@ -152,45 +262,40 @@ def _pack(rule: JaccardRule, buckets: int):
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys, nodes, sizes, of = [], [], [], []
+            keys, nodes = {}, []
             for grams in _sets(pdf, rule, hashes):
-                node = node_of(grams)
-                k = segment_keys(grams, rule)
-                keys.append(k)
-                nodes.append(np.full(len(k), node))
-                of.append(node)
-                sizes.append(len(grams))
-            k, v = np.concatenate(keys), np.concatenate(nodes)
-            order = np.lexsort((v, k))
+                node = int(node_of(grams))
+                if node and node not in keys:
+                    keys[node] = np.unique(segment_keys(grams, rule))
+            if not keys:
+                continue
+            nodes = np.array(list(keys), np.uint64)
+            k = np.concatenate(list(keys.values()))
+            v = np.repeat(nodes, [len(x) for x in keys.values()])
+            order = np.argsort(k, kind="stable")
             k, v = k[order], v[order]
-            if len(k):
-                fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
-                k, v = k[fresh], v[fresh]
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
             counts = np.diff(np.append(starts, len(k)))
             hot = np.repeat(counts >= HOT_IN_BATCH, counts)
-            hot_keys, hot_nodes = k[hot], v[hot]
             # A marker (node 0) tells the bucket that this key's group has members elsewhere.
-            marked = np.unique(hot_keys)
-            k, v = np.concatenate((k[~hot], marked)), np.concatenate((v[~hot], np.zeros(len(marked), np.uint64)))
-            ids = pdf["doc_id"]
-            no_id = ids.isna().to_numpy()
-            info = (
-                np.array(of, np.uint64),
-                ids.fillna(0).to_numpy().astype(np.int64),
-                no_id.astype(np.int8),
-                np.array(sizes, np.int64),
+            marked = np.unique(k[hot])
+            to = np.concatenate(
+                (
+                    np.where(hot, buckets + (mix(k ^ mix(v)) % np.uint64(buckets)).astype(np.int64), (mix(k) % np.uint64(buckets)).astype(np.int64)),
+                    (mix(marked) % np.uint64(buckets)).astype(np.int64),
+                )
             )
-            rows = _bucket_rows(k, v, info, buckets)
-            if len(hot_keys):
-                # Members of hot keys are dealt by key and node together.
-                at = (mix(hot_keys ^ mix(hot_nodes)) % np.uint64(buckets)).astype(np.int64)
-                extra = [
-                    (-1 - int(b), hot_keys[at == b].tobytes(), hot_nodes[at == b].tobytes(), b"", b"", b"", b"")
-                    for b in np.unique(at)
-                ]
-                rows = pd.concat([rows, pd.DataFrame(extra, columns=rows.columns)], ignore_index=True)
-            yield rows
+            k, v = np.concatenate((k, marked)), np.concatenate((v, np.zeros(len(marked), np.uint64)))
+            by_node = np.argsort(v, kind="stable")
+            k, v, to = k[by_node], v[by_node], to[by_node]
+            rows = []
+            for b, at in _dealt(to, 2 * buckets):
+                own, times = np.unique(v[at], return_counts=True)
+                # Members of hot keys are dealt by key and node, to buckets below zero.
+                rows.append(
+                    (b if b < buckets else buckets - 1 - b, k[at].tobytes(), own.tobytes(), times.astype(np.uint32).tobytes())
+                )
+            yield pd.DataFrame(rows, columns=["bucket", "keys", "nodes", "times"])
 
     return run
 
@@ -200,53 +305,31 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _unpack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Groups of nodes under a common key, each once per bucket, and the documents' nodes."""
+    """Groups of nodes under a common key, each once per bucket."""
     k = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
-    v = np.frombuffer(b"".join(pdf["nodes"]), np.uint64)
+    v = np.repeat(np.frombuffer(b"".join(pdf["nodes"]), np.uint64), np.frombuffer(b"".join(pdf["times"]), np.uint32))
+    order = np.lexsort((v, k))
+    k, v = k[order], v[order]
+    if len(k):
+        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
+        k, v = k[fresh], v[fresh]
     if int(pdf["bucket"].iloc[0]) < 0:
-        pairs = np.unique(np.stack([k, v], axis=1), axis=0)
-        gids, members = pairs[:, 0].copy(), pairs[:, 1].copy()
-    else:
-        order = np.lexsort((v, k))
-        k, v = k[order], v[order]
-        if len(k):
-            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
-            k, v = k[fresh], v[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
-        counts = np.diff(np.append(starts, len(k)))
-        wide = counts > 1
-        starts, counts = starts[wide], counts[wide]
-        if len(starts):
-            all_starts = np.repeat(starts, counts)
-            index = all_starts + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            own = v[index]
-            first = np.cumsum(counts) - counts
-            total = np.add.reduceat(mix(own), first)
-            hot = own[first] == 0  # sorted: the marker comes first
-            gid = np.where(hot, k[starts], mix(total + counts.astype(np.uint64)))
-            _, once = np.unique(gid, return_index=True)
-            keep = np.zeros(len(gid), bool)
-            keep[once] = True
-            wanted = np.repeat(keep, counts) & (own != 0)
-            gids, members = np.repeat(gid, counts)[wanted], own[wanted]
-        else:
-            gids = members = np.empty(0, np.uint64)
-    d_node = np.frombuffer(b"".join(pdf["d_node"]), np.uint64)
-    ids = pd.Series(np.frombuffer(b"".join(pdf["d_id"]), np.int64)).astype("Int64")
-    ids[np.frombuffer(b"".join(pdf["d_null"]), np.int8) == 1] = pd.NA
-    n_groups, n_docs = len(gids), len(d_node)
-    none, nothing = pd.array([pd.NA] * n_groups, "Int64"), pd.array([pd.NA] * n_docs, "Int64")
-    return pd.DataFrame(
-        {
-            "gid": pd.concat([pd.Series(_signed(gids)).astype("Int64"), pd.Series(nothing)], ignore_index=True),
-            "node": np.concatenate([_signed(members), _signed(d_node)]),
-            "doc_id": pd.concat([pd.Series(none), ids], ignore_index=True),
-            "n": pd.concat(
-                [pd.Series(none), pd.Series(np.frombuffer(b"".join(pdf["d_n"]), np.int64)).astype("Int64")],
-                ignore_index=True,
-            ),
-        }
-    )
+        return pd.DataFrame({"gid": _signed(k), "node": _signed(v)})
+    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
+    counts = np.diff(np.append(starts, len(k)))
+    wide = counts > 1
+    starts, counts = starts[wide], counts[wide]
+    if not len(starts):
+        return pd.DataFrame({"gid": np.empty(0, np.int64), "node": np.empty(0, np.int64)})
+    first = np.cumsum(counts) - counts
+    own = v[np.repeat(starts - first, counts) + np.arange(counts.sum())]
+    hot = own[first] == 0  # sorted: the marker comes first
+    gid = np.where(hot, k[starts], mix(np.add.reduceat(mix(own), first) + counts.astype(np.uint64)))
+    _, once = np.unique(gid, return_index=True)
+    keep = np.zeros(len(gid), bool)
+    keep[once] = True
+    wanted = np.repeat(keep, counts) & (own != 0)
+    return pd.DataFrame({"gid": _signed(np.repeat(gid, counts)[wanted]), "node": _signed(own[wanted])})
 
 
 def _grams_of(rule: JaccardRule):
@@ -350,21 +433,34 @@ def linked_sets(docs: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataF
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_buckets = max(partitions(spark), 1)
-    packed = map_slices(docs, _pack(rule, n_buckets), _PACKED, rows=2048)
-    raw = cut_lineage(packed.groupBy("bucket").applyInPandas(_unpack, _UNPACKED))
-    info = raw.filter(F.col("gid").isNull()).select("doc_id", "node", "n")
+    buckets = max(partitions(spark), 1)
+    counted = map_slices(docs, _count_pack(rule, buckets), _COUNTED, rows=2048)
+    met = cut_lineage(counted.groupBy("bucket").applyInPandas(_count, _MET))
+    info = met.filter(F.col("n") >= 0).select("doc_id", "node", "n")
     known = info.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = known.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    # Nodes only of rows without doc_id take no part.
+    missing = F.floor(F.col("n") * (rule.den - rule.num) / rule.den)
+    elsewhere = met.filter(F.col("n") < 0).groupBy("node").agg(F.sum("met").alias("elsewhere"))
+    wanted = cut_lineage(
+        met.filter(F.col("n") > 0)
+        .groupBy("node", "n", "half")
+        .agg(F.max("met").alias("met"))
+        .join(elsewhere, "node", "left")
+        .filter(F.col("met") + F.coalesce("elsewhere", F.lit(0)) + missing >= F.col("half"))
+        # Nodes only of rows without doc_id take no part.
+        .join(classes, "node")
+        .select("node", F.col("least_id").alias("doc_id"))
+    )
+    some = docs.filter(may_be_in(wanted.select("doc_id"), "doc_id"))
+    packed = map_slices(some, _pack(rule, buckets), _PACKED, rows=2048)
     members = cut_lineage(
-        raw.filter(F.col("gid").isNotNull())
-        .select("gid", "node")
+        packed.groupBy("bucket")
+        .applyInPandas(_unpack, _GROUPED)
         .distinct()
-        .join(classes.select("node"), "node", "left_semi")
+        .join(wanted.select("node"), "node", "left_semi")
     )
-    wanted = members.select("node").distinct().join(classes, "node").select(F.col("least_id").alias("doc_id")).distinct()
-    member_docs = docs.join(wanted, "doc_id", "left_semi")
+    of_members = members.select("node").distinct().join(wanted, "node").select("doc_id")
+    member_docs = docs.filter(may_be_in(cut_lineage(of_members), "doc_id"))
     grams = (
         map_slices(member_docs, _grams_of(rule), "node long, grams binary")
         .groupBy("node")
@@ -400,5 +496,7 @@ def one_per_component(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> Dat
 
     Rows without doc_id are kept; of rows that repeat the doc_id that stays, all stay.
     """
-    kept = linked_sets(docs, rule).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    sets = cut_lineage(linked_sets(docs, rule).select("doc_id", "component_id"))
+    stays = sets.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    goes = sets.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return without(docs, cut_lineage(goes.join(stays, "doc_id", "left_anti").distinct()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Bits of a membership filter, whatever the number of its members (one mebibyte).
+BITS = 1 << 23
 #: Rows that are Python objects at one time; an Arrow batch has many more.
 SLICE = 512
 
@@ -42,3 +45,48 @@ def map_slices(
                 yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
     return df.mapInArrow(sliced, schema)
+
+
+def bit_array(places: DataFrame, column: str) -> np.ndarray:
+    """The set bits (numbers from 0 to BITS - 1 in ``column``) as an array of BITS / 8 bytes.
+
+    A fixed size, so that it may go to the driver and out with the tasks. The more members,
+    the more bits are set: a full array lets everything through and excludes no member.
+    """
+    bit = places.select((F.col(column) + 1).alias("bit"))
+    parts = (
+        bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        .collect()
+    )
+    out = np.zeros(BITS // 8, np.uint8)
+    for part in parts:
+        chunk = np.frombuffer(part.bits, np.uint8)
+        out[(part.bucket - 1) * len(chunk) : part.bucket * len(chunk)] = chunk
+    return out
+
+
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def may_be_in(members: DataFrame, column: str) -> Column:
+    """True for every row whose ``column`` is among the members', and for some others."""
+    bits = bit_array(members.select(_place(column).alias("place")), "place")
+
+    @F.pandas_udf("boolean")
+    def test(places: pd.Series) -> pd.Series:
+        at = places.to_numpy().astype(np.int64)
+        return pd.Series(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+
+    return test(_place(column))
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``column`` is among ``ids``; NULLs stay.
+
+    Rows that the bit array excludes pass without a shuffle; only the others are joined.
+    """
+    marked = may_be_in(ids, column)
+    unsure = docs.filter(marked).join(ids.select(column).distinct(), column, "left_anti").select(*docs.columns)
+    return docs.filter(~marked).unionByName(unsure)

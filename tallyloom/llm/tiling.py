@@ -2,7 +2,7 @@
 
 1. Every benchmark item is a list of words; its runs of ``seed`` words are seeds.
 2. One pass over the documents looks each of their seeds up in a bit array of the
-   benchmark's seeds (``_BITS`` bits, whatever the benchmark's size: a full array lets
+   benchmark's seeds (``BITS`` bits, whatever the benchmark's size: a full array lets
    more through, never less) and keeps the stretches of the text that hits cover. A tile
    of ``seed`` words or more cannot reach beyond them.
 3. Hits are joined to the benchmark's seeds by value. A pair (document, item) goes on if
@@ -26,11 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.tables import map_slices, text_or_empty
+from tallyloom.llm.tables import BITS, bit_array, map_slices, text_or_empty, without
 from tallyloom.llm.words import WordHashes, hashed, rolling
 from tallyloom.session import cut_lineage
 
-_BITS = 1 << 23
 _WORD = re.compile(r"\w+")
 
 
@@ -49,7 +48,7 @@ def _words(text: str, hashes: WordHashes) -> np.ndarray:
 
 
 def _bit(seeds: np.ndarray) -> np.ndarray:
-    return (seeds % np.uint64(_BITS)).astype(np.int64)
+    return (seeds % np.uint64(BITS)).astype(np.int64)
 
 
 def _runs(tokens: list[int], free: list[bool], length: int) -> Iterator[tuple[int, int]]:
@@ -127,21 +126,6 @@ def _benchmark_seeds(rule: TilingRule):
     return run
 
 
-def _bit_array(items: DataFrame) -> np.ndarray:
-    """The seeds' bits, of a fixed size, one byte per eight."""
-    places = items.select(F.explode("bits").alias("place")).select((F.col("place") + 1).alias("bit"))
-    parts = (
-        places.groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-        .collect()
-    )
-    out = np.zeros(_BITS // 8, np.uint8)
-    for part in parts:
-        chunk = np.frombuffer(part.bits, np.uint8)
-        out[(part.bucket - 1) * len(chunk) : part.bucket * len(chunk)] = chunk
-    return out
-
-
 def _hits(rule: TilingRule, bits: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -198,7 +182,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = Ti
             "item_id long, n_words int, words binary, seeds array<long>, bits array<long>",
         )
     )
-    bits = _bit_array(items)
+    bits = bit_array(items.select(F.explode("bits").alias("bit")), "bit")
     named = docs.filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")
     )
@@ -228,4 +212,4 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = Ti
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = TilingRule()) -> DataFrame:
     """``docs`` without the documents that leak an item; rows without doc_id stay."""
-    return docs.join(benchmark_leaks(docs, benchmark, rule).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, cut_lineage(benchmark_leaks(docs, benchmark, rule).select("doc_id").distinct()))
