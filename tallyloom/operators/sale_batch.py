@@ -3,17 +3,20 @@
 Requests compete in the order of ``seq``. One is accepted if some inventory
 row of its product still holds the quantity; then every inventory row of the
 product loses it. A request that is turned down takes nothing, so a running
-sum cannot decide: the outcome needs a sequential pass per product. What that
-pass has to see is cut down first, without loss:
+sum cannot decide: the outcome needs a pass in turn per product.
 
-* products whose whole demand fits need no pass;
-* while stock only falls, an accepted request implies that every earlier one
+* Products whose whole demand fits need no pass.
+* While stock only falls, an accepted request implies that every earlier one
   of the same size was accepted too. So among requests of size ``q`` in one
   stretch of time, only the first ``stock / q`` can succeed.
+* A product with at most ``MOST_IN_TURN`` requests is passed in one task, which
+  streams over sorted rows and keeps one number per product.
+* A product with more is cut at slices of ``seq``. Each slice works out, beside
+  the others, the stock it leaves for any stock it may find; one number per
+  slice is then handed on in turn; with it each slice decides its requests.
 
-The stretches are slices of ``seq``, which also spread the requests of a very
-popular product over many tasks. The pass itself streams over sorted rows and
-keeps one number per product.
+Lookups are made distinct first: a customer, seller, order or item listed twice
+is one, of a product listed twice the lowest price counts.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,6 +40,9 @@ from tallyloom.session import cut_lineage
 
 ACCEPTED, NO_STOCK = "accepted", "not_enough_stock"
 
+#: Contested requests of one product that one task decides in turn.
+MOST_IN_TURN = 20_000
+
 _REQUEST = ["seq", "order_id", "order_item_id", "customer_id", "seller_id", "product_id", "quantity"]
 
 
@@ -58,6 +66,7 @@ def apply_sales(
     as_of: date,
     items: DataFrame | None = None,
     strict: bool = False,
+    most_in_turn: int = MOST_IN_TURN,
 ) -> SaleBatch:
     """Decide every request and derive the rows to write.
 
@@ -72,7 +81,7 @@ def apply_sales(
     requests = requests.select(*_REQUEST)
     turn_slice = slice_number(slice_bounds(requests, "seq"), F.col("seq"))
     screened = cut_lineage(_screen(requests, taken, customers, sellers, strict).withColumn("slice", turn_slice))
-    decided = cut_lineage(_decide(screened, products, inventory))
+    decided = cut_lineage(_decide(screened, products, inventory, most_in_turn))
     accepted = decided.filter(F.col("outcome") == ACCEPTED)
 
     used = accepted.groupBy("product_id").agg(F.sum("quantity").alias("used"))
@@ -105,7 +114,7 @@ def _screen(
     df = requests
     for key, table in taken.items():
         first = requests.groupBy(key).agg(F.min("seq").alias("seq")).withColumn(f"_first_{key}", F.lit(True))
-        exists = table.select(key, F.lit(True).alias(f"_taken_{key}"))
+        exists = table.select(key).distinct().withColumn(f"_taken_{key}", F.lit(True))
         # seq in the join key keeps requests that share an id in separate rows of the shuffle.
         df = df.join(first, [key, "seq"], "left").join(exists, key, "left")
         checks += [
@@ -114,7 +123,7 @@ def _screen(
             (F.col(f"_first_{key}").isNull(), f"repeated_{key}"),
         ]
     for key, table in {"customer_id": customers, "seller_id": sellers}.items():
-        df = df.join(table.select(key, F.lit(True).alias(f"_known_{key}")), key, "left")
+        df = df.join(table.select(key).distinct().withColumn(f"_known_{key}", F.lit(True)), key, "left")
         checks.append((F.col(key).isNotNull() & F.col(f"_known_{key}").isNull(), f"unknown_{key.removesuffix('_id')}"))
     if strict:
         checks.append((F.col("quantity") < 1, "invalid_quantity"))
@@ -122,7 +131,7 @@ def _screen(
     return df.select(*_REQUEST, error.alias("error"))
 
 
-def _decide(screened: DataFrame, products: DataFrame, inventory: DataFrame) -> DataFrame:
+def _decide(screened: DataFrame, products: DataFrame, inventory: DataFrame, most_in_turn: int) -> DataFrame:
     """Adds ``price`` and ``outcome`` to screened, sliced requests."""
     competing = F.col("error").isNull()
     quantity = F.col("quantity")
@@ -130,17 +139,23 @@ def _decide(screened: DataFrame, products: DataFrame, inventory: DataFrame) -> D
     # One row per (product, slice): stock, price and the product's whole demand.
     whole = W.partitionBy("product_id")
     stock = inventory.groupBy("product_id").agg(F.max("stock").alias("available"))
+    prices = products.groupBy("product_id").agg(F.min("price").alias("price")).withColumn("listed", F.lit(True))
     offers = (
         screened.filter(competing)
         .groupBy("product_id", "slice")
-        .agg(F.sum(F.greatest(quantity, F.lit(0))).alias("wanted"), F.sum(-F.least(quantity, F.lit(0))).alias("restocked"))
+        .agg(
+            F.sum(F.greatest(quantity, F.lit(0))).alias("wanted"),
+            F.sum(-F.least(quantity, F.lit(0))).alias("restocked"),
+            F.count(F.lit(1)).alias("requests"),
+        )
+        .withColumn("many", F.sum("requests").over(whole) > most_in_turn)
         .withColumn("wanted", F.sum("wanted").over(whole))
         .withColumn("restocked", F.sum("restocked").over(whole))
         .join(stock, "product_id")
-        .join(products.select("product_id", "price", F.lit(True).alias("listed")), "product_id", "left")
+        .join(prices, "product_id", "left")
         .withColumn("reach", F.col("available") + F.coalesce("restocked", F.lit(0)))
         .withColumn("all_fit", (F.col("available") >= 0) & (F.coalesce("wanted", F.lit(0)) <= F.col("available")))
-        .drop("wanted", "restocked")
+        .drop("wanted", "restocked", "requests")
     )
     offered = screened.join(offers, ["product_id", "slice"], "left")
 
@@ -162,14 +177,110 @@ def _decide(screened: DataFrame, products: DataFrame, inventory: DataFrame) -> D
     )
     kept = [*_REQUEST, "price", "outcome"]
     settled = ruled.filter(F.col("outcome").isNotNull()).select(*kept)
-    open_ = ruled.filter(F.col("outcome").isNull()).select(*kept, "available")
+    undecided = ruled.filter(F.col("outcome").isNull())
+    open_ = undecided.filter(~F.col("many")).select(*kept, "available")
     passed = (
         open_.repartition("product_id")
         .sortWithinPartitions("product_id", "seq")
         .mapInArrow(_selling_in_turn(), T.StructType(open_.schema.fields + [T.StructField("sold", T.BooleanType())]))
         .withColumn("outcome", F.when(F.col("sold"), ACCEPTED).otherwise(NO_STOCK))
     )
-    return settled.unionByName(passed.select(*kept))
+    sliced = undecided.filter("many").select(*kept, "available", "slice")
+    return settled.unionByName(passed.select(*kept)).unionByName(_decide_by_slices(sliced).select(*kept))
+
+
+def _decide_by_slices(requests: DataFrame) -> DataFrame:
+    """Decides requests of products that have very many, a slice of turns at a time."""
+    by_slice = requests.groupBy("product_id", "slice")
+    effects = by_slice.applyInPandas(_slice_effect(), "product_id long, slice long, available long, effect binary")
+    found = (
+        effects.repartition("product_id")
+        .sortWithinPartitions("product_id", "slice")
+        .mapInArrow(_handed_on(), "product_id long, slice long, found long")
+    )
+    schema = T.StructType([*requests.schema.fields, T.StructField("found", T.LongType()), T.StructField("sold", T.BooleanType())])
+    return (
+        requests.join(found, ["product_id", "slice"])
+        .select(*requests.columns, "found")
+        .groupBy("product_id", "slice")
+        .applyInPandas(_selling_in_slice(), schema)
+        .withColumn("outcome", F.when(F.col("sold"), ACCEPTED).otherwise(NO_STOCK))
+    )
+
+
+def _slice_effect() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What a slice leaves, for any stock: ascending bounds of the stock found, and what is taken from there on.
+
+    ``(low, taken)`` pairs of whole numbers. Stocks that have met the same fate
+    so far form an interval; a request splits those that hold it only in part.
+    """
+
+    def effect(requests: pd.DataFrame) -> pd.DataFrame:
+        quantities = requests.sort_values("seq")["quantity"].to_numpy(np.int64)
+        # Nothing but a restock can help a stock below the smallest request, and
+        # beyond the sum of all requests every one fits: between, intervals.
+        lows, taken = np.array([np.iinfo(np.int64).min // 4]), np.zeros(1, np.int64)
+        for q in quantities:
+            highs = np.append(lows[1:], np.iinfo(np.int64).max // 4)
+            edge = taken + q  # the least stock found that still holds the request
+            fits = lows >= edge
+            split = ~fits & (highs > edge)
+            if split.any():
+                lows = np.concatenate((lows, edge[split]))
+                fits = np.concatenate((fits, np.ones(int(split.sum()), bool)))
+                taken = np.concatenate((taken, taken[split]))
+                order = np.argsort(lows, kind="stable")
+                lows, taken, fits = lows[order], taken[order], fits[order]
+            taken = taken + q * fits
+            same = np.concatenate(([False], taken[1:] == taken[:-1]))
+            lows, taken = lows[~same], taken[~same]
+        first = requests.iloc[0]
+        return pd.DataFrame(
+            {
+                "product_id": [first["product_id"]],
+                "slice": [first["slice"]],
+                "available": [first["available"]],
+                "effect": [np.stack((lows, taken)).astype("<i8").tobytes()],
+            }
+        )
+
+    return effect
+
+
+def _handed_on() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The stock each slice finds, from rows sorted by product and slice."""
+
+    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, left = None, 0
+        for batch in batches:
+            columns = (batch.column(name).to_pylist() for name in ("product_id", "slice", "available", "effect"))
+            rows = []
+            for product, part, available, effect in zip(*columns):
+                if product != current:
+                    current, left = product, available
+                rows.append((product, part, left))
+                lows, taken = np.frombuffer(effect, "<i8").reshape(2, -1)
+                left -= int(taken[np.searchsorted(lows, left, side="right") - 1])
+            arrays = [pa.array(column, pa.int64()) for column in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays(arrays, names=["product_id", "slice", "found"])
+
+    return hand_on
+
+
+def _selling_in_slice() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Adds ``sold`` to the requests of one slice, which finds the stock ``found``."""
+
+    def sell(requests: pd.DataFrame) -> pd.DataFrame:
+        requests = requests.sort_values("seq")
+        left, sold = int(requests["found"].iloc[0]), []
+        for quantity in requests["quantity"]:
+            fits = quantity <= left
+            if fits:
+                left -= quantity
+            sold.append(bool(fits))
+        return requests.assign(sold=sold)
+
+    return sell
 
 
 def _selling_in_turn() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

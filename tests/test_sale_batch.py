@@ -3,8 +3,11 @@ from __future__ import annotations
 import random
 from datetime import date
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from tallyloom.operators import sale_batch
 from tallyloom.operators.sale_batch import apply_sales
 from tests.conftest import day, rows
 
@@ -135,9 +138,57 @@ def one_after_the_other(requests, stock):
     return got, left
 
 
+def test_repeated_dimension_rows_change_nothing(spark, shop):
+    twice = {name: shop[name].unionByName(shop[name]) for name in ("customers", "sellers", "products", "orders")}
+    batch = run(spark, {**shop, **twice}, [ask(1, 1, 2), ask(2, 1, 1, order=500)])
+    assert outcomes(batch) == {1: "accepted", 2: "taken_order_id"}
+    assert batch.outcomes.count() == 2 and batch.items.count() == 1
+    assert dict(rows(batch.inventory, "inventory_id", "stock"))[1] == 3
+
+
+def test_lowest_price_of_a_repeated_product_counts(spark, shop, make):
+    products = shop["products"].unionByName(make("products", (1, "again", 3, 1, 1)))
+    batch = run(spark, {**shop, "products": products}, [ask(1, 1, 2)])
+    assert [str(r[0]) for r in rows(batch.items, "price_per_unit")] == ["3.00"]
+
+
+@pytest.mark.parametrize("stock, restock", [(50, 0), (5_000, 0), (20_000, 0), (50, 0.1)])
+def test_hot_product_goes_by_slices(spark, make, stock, restock):
+    """No task decides a hot product's requests in turn; each slice gets a bounded share."""
+    rng = random.Random(stock)
+    requests = [
+        (i, i + 1, i + 1, 1, 1, 1, -rng.randint(1, 5) if rng.random() < restock else rng.randint(1, 5)) for i in range(20_000)
+    ]
+    shop = {
+        "customers": make("customers", (1, "a", "b", "s", "x")),
+        "sellers": make("sellers", (1, "s", "UK")),
+        "products": make("products", (1, "p", 1, 1, 1)),
+        "orders": make("orders", (500_000, "2024-01-01", 1, 1, "Completed")),
+        "inventory": make("inventory", (1, 1, stock, 1, None)),
+    }
+    batch = run(spark, shop, requests, most_in_turn=1_000)
+    want, left = one_after_the_other(requests, {1: stock})
+    assert outcomes(batch) == want
+    assert dict(rows(batch.inventory, "product_id", "stock")) == left
+
+
+def test_slice_effect_is_the_sequential_one():
+    rng = random.Random(4)
+    for _ in range(200):
+        quantities = [rng.randint(-4, 9) for _ in range(rng.randint(1, 25))]
+        frame = pd.DataFrame({"seq": range(len(quantities)), "quantity": quantities, "product_id": 1, "slice": 1, "available": 0})
+        lows, taken = np.frombuffer(sale_batch._slice_effect()(frame)["effect"][0], "<i8").reshape(2, -1)
+        for stock in range(-6, 60):
+            left = stock
+            for q in quantities:
+                left -= q if q <= left else 0
+            assert stock - taken[np.searchsorted(lows, stock, side="right") - 1] == left
+
+
+@pytest.mark.parametrize("most_in_turn", [20_000, 5])
 @pytest.mark.parametrize("lowest", [1, 0, -3])
 @pytest.mark.parametrize("partitions", [1, 7])
-def test_equals_sequential_model(spark, make, lowest, partitions):
+def test_equals_sequential_model(spark, make, lowest, partitions, most_in_turn):
     rng = random.Random(lowest)
     stock = {1: 60, 2: 15, 3: 0, 4: 4000, 5: -2, 6: 7}
     # Product 1 gets about half of the requests; product 4 has room for all.
@@ -153,7 +204,7 @@ def test_equals_sequential_model(spark, make, lowest, partitions):
         "orders": make("orders", (500_000, "2024-01-01", 1, 1, "Completed")),
         "inventory": inventory.repartition(partitions),
     }
-    batch = run(spark, shop, requests)
+    batch = run(spark, shop, requests, most_in_turn=most_in_turn)
     want, left = one_after_the_other(requests, stock)
     assert outcomes(batch) == want
     assert dict(rows(batch.inventory, "product_id", "stock")) == left
