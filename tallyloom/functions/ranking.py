@@ -83,13 +83,9 @@ def global_dense_rank(df: DataFrame, score: str, rank: str) -> DataFrame:
 def top_dense_rank(df: DataFrame, group: str, score: str, rank: str, k: int) -> DataFrame:
     """Rows whose dense rank by ``score`` (descending) in ``group`` is at most ``k``.
 
-    Ranks distinct (group, score) pairs, so a group that holds a large share of
-    the rows costs as many rows as it has different scores. The scored rows
-    are used twice, so they are written once.
+    The filter on the rank lets Spark drop rows beyond rank ``k`` of a group in
+    the map tasks already, so of a group that holds a large share of the rows
+    each task sends its own best only.
     """
-    df = cut_lineage(df)
-    pairs = df.select(F.col(group).alias("_group"), F.col(score).alias("_score")).distinct()
-    within = W.partitionBy("_group").orderBy(F.col("_score").desc_nulls_first())
-    best = pairs.withColumn(rank, F.dense_rank().over(within)).filter(F.col(rank) <= k)
-    same = F.col(group).eqNullSafe(F.col("_group")) & F.col(score).eqNullSafe(F.col("_score"))
-    return df.join(best, same).drop("_group", "_score")
+    within = W.partitionBy(group).orderBy(F.col(score).desc_nulls_first())
+    return df.withColumn(rank, F.dense_rank().over(within)).filter(F.col(rank) <= k)

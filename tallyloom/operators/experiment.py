@@ -30,12 +30,20 @@ class Experiment:
 
 
 def ab_test_groups(attempts: DataFrame, arm: str, success: str, experiment: Experiment) -> DataFrame:
-    """Attempts, successes and conversion rate per arm."""
-    is_control = F.col(arm) == F.lit(experiment.control)
+    """Attempts, successes and conversion rate per arm, control first; an arm without attempts has zeros."""
+    arms = [(0, experiment.control), (1, experiment.treatment)]
+    counts = [
+        F.struct(
+            F.lit(place).alias("place"),
+            F.count_if(F.col(arm) == F.lit(value)).alias("checkout_attempts"),
+            F.count_if((F.col(arm) == F.lit(value)) & F.col(success)).alias("successful_checkouts"),
+        )
+        for place, value in arms
+    ]
     return (
-        attempts.filter(F.col(arm).isin(experiment.control, experiment.treatment))
-        .groupBy(F.when(is_control, 0).otherwise(1).alias("place"))
-        .agg(F.count(F.lit(1)).alias("checkout_attempts"), F.count_if(F.col(success)).alias("successful_checkouts"))
+        attempts.agg(F.array(*counts).alias("arms"))
+        .select(F.explode("arms").alias("row"))
+        .select("row.*")
         .orderBy("place")
         .select(
             _by_arm(experiment.control_label, experiment.treatment_label).alias("group"),

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exact import micros, percent
+from tallyloom.functions.ranking import slice_bounds, slice_number
 from tallyloom.model import CANCELLED, COMPLETED, RETURNED
 
 
@@ -81,27 +82,30 @@ def event_chains(
     user: str = "user_id",
     time: str = "ts",
     event_type: str = "event_type",
-    slice_hours: int = 1,
 ) -> DataFrame:
     """For each event of the first step, when each later step was first reached.
 
-    Returns (user, t0, t1, ...) in microseconds: ``t_k`` is the first event of
-    step ``k`` strictly after ``t_(k-1)``, NULL if there is none.
+    Returns (user, t0, t1, ..., n) in microseconds: ``t_k`` is the first event
+    of step ``k`` strictly after ``t_(k-1)``, NULL if there is none; ``n`` is
+    the number of first-step events at ``t0``.
 
-    A user's events are cut into time slices, so that no task holds all events
-    of a very active user. Inside a slice one descending pass finds the next
+    Equal events (user, time, step) are folded in the map tasks. What is left
+    of a user is cut into time slices at quantiles of all events' times, so
+    that no task holds all events of a very active user, nor those of a very
+    busy hour. Inside a slice one descending pass finds the next
     event of each step. What lies beyond the slice comes from a summary with
     one row per (user, slice): the first chain that starts in a later slice.
     """
-    width = slice_hours * 3_600 * 1_000_000
     clock = micros(F.col(time), events.schema[time].dataType.typeName())
     step = F.array_position(F.array(*(F.lit(s) for s in steps)), F.col(event_type)) - 1
     last = len(steps) - 1
     known = F.col(user).isNotNull() & F.col(time).isNotNull() & F.col(event_type).isin(list(steps))
     rows = events.filter(known).select(F.col(user).alias("user"), clock.alias("t"), step.cast("int").alias("step"))
+    bounds = slice_bounds(rows.select("t"), "t")
+    rows = rows.groupBy("user", "t", "step").agg(F.count(F.lit(1)).alias("n"))
     # The filter is implied; stated here, it is the same in both branches of the
     # join below, so that they share one exchange of the events.
-    rows = rows.withColumn("slice", F.call_function("div", F.col("t"), F.lit(width)))
+    rows = rows.withColumn("slice", slice_number(bounds, F.col("t")))
     rows = rows.filter(F.col("slice").isNotNull())
 
     # Descending time makes "strictly later" a growing frame: one pass per step.
@@ -136,9 +140,9 @@ def event_chains(
 
     return (
         rows.filter(F.col("step") == 0)
-        .select("user", "slice", F.col("t").alias("t0"), "next1")
+        .select("user", "slice", F.col("t").alias("t0"), "next1", "n")
         .join(beyond, ["user", "slice"])
-        .select("user", "t0", *filled("next1", 1))
+        .select("user", "t0", *filled("next1", 1), "n")
     )
 
 
@@ -149,7 +153,6 @@ def event_funnel(
     user: str = "user_id",
     time: str = "ts",
     event_type: str = "event_type",
-    slice_hours: int = 1,
 ) -> DataFrame:
     """Users and attempts that reach each step in order.
 
@@ -158,13 +161,13 @@ def event_funnel(
     strictly later, if that comes at most ``within_hours`` after. Drop-off and
     conversions count users.
     """
-    chains = event_chains(events, [kind for _, kind in steps], user, time, event_type, slice_hours)
+    chains = event_chains(events, [kind for _, kind in steps], user, time, event_type)
     allowed = within_hours * 3_600 * 1_000_000
     reached = [F.lit(True)]
     for k in range(1, len(steps)):
         in_time = F.coalesce(F.col(f"t{k}") - F.col(f"t{k - 1}") <= allowed, F.lit(False))
         reached.append(reached[-1] & in_time)
-    per_user = chains.groupBy("user").agg(*(F.count_if(ok).alias(f"n{k}") for k, ok in enumerate(reached)))
+    per_user = chains.groupBy("user").agg(*(F.sum(F.when(ok, F.col("n")).otherwise(0)).alias(f"n{k}") for k, ok in enumerate(reached)))
     totals = per_user.agg(
         *(F.count_if(F.col(f"n{k}") > 0).alias(f"users{k}") for k in range(len(steps))),
         *(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"attempts{k}") for k in range(len(steps))),

@@ -13,11 +13,18 @@ from tallyloom.sources.sinks import write_table
 
 
 def load_raw(
-    spark: SparkSession, raw_folder: str, table_folder: str, tables: tuple[str, ...] = tuple(FILES)
+    spark: SparkSession,
+    raw_folder: str,
+    table_folder: str,
+    tables: tuple[str, ...] = tuple(FILES),
+    multiline: bool = False,
 ) -> dict[str, DataFrame]:
-    """Writes the chosen tables as Parquet and returns them, read back."""
+    """Writes the chosen tables as Parquet and returns them, read back.
+
+    ``multiline`` reads cells with line breaks; without it they are refused.
+    """
     for name in tables:
-        write_table(read_table(spark, name, f"{raw_folder}/{FILES[name]}"), f"{table_folder}/{name}")
+        write_table(read_table(spark, name, f"{raw_folder}/{FILES[name]}", multiline), f"{table_folder}/{name}")
     return open_tables(spark, table_folder, tables)
 
 

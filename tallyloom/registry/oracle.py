@@ -277,8 +277,7 @@ _FULFILMENT = _funnel(
 )
 
 _EVENT_FUNNEL = (
-    """WITH steps AS (SELECT user_id, ts, event_type FROM events),
-    clicked AS (
+    """WITH clicked AS (
       SELECT v.user_id, v.event_id, MIN(c.ts) AS click_ts
       FROM events AS v LEFT JOIN events AS c
         ON c.user_id = v.user_id AND c.event_type = 'click' AND c.ts > v.ts AND c.ts <= v.ts + INTERVAL 12 HOUR
@@ -295,7 +294,7 @@ _EVENT_FUNNEL = (
              COUNT(*) AS a0, COUNT(click_ts) AS a1, COUNT(buy_ts) AS a2 FROM bought)
     """
     + _funnel([("View Item", "u0"), ("Add to Cart", "u1"), ("Purchase", "u2")], "totals", "users", ["a0", "a1", "a2"])
-).replace("WITH steps AS (SELECT user_id, ts, event_type FROM events),\n    clicked", "WITH clicked")
+)
 
 _COUNTS = """(SELECT COUNT(*) FILTER (arm = 0) AS n_a, COUNT(*) FILTER (arm = 0 AND success) AS x_a,
                      COUNT(*) FILTER (arm = 1) AS n_b, COUNT(*) FILTER (arm = 1 AND success) AS x_b
@@ -312,14 +311,14 @@ _READOUT = f""", test AS (SELECT *, {_Z} AS z FROM {_COUNTS}),
         SELECT 0, abs(z) / sqrt(2.0::DOUBLE), abs(z) / sqrt(2.0::DOUBLE) FROM test
         UNION ALL SELECT k + 1, x, -term * x * x / (k + 1) FROM series WHERE k < 80)
       SELECT 1 - 2 / sqrt(pi()) * SUM(term / (2 * k + 1) ORDER BY k DESC) AS p FROM series)
-    SELECT 'A/B Test: New Checkout Flow' AS test_name, FALSE AS is_simulated, 'checkout attempt' AS experimental_unit,
+    SELECT 'Error rate by user parity' AS test_name, FALSE AS is_simulated, 'checkout attempt' AS experimental_unit,
            'purchase instead of error' AS conversion_metric, 'p_treatment = p_control' AS hypothesis_null,
            'p_treatment != p_control (two-tailed)' AS hypothesis_alt, CAST(0.05 AS DOUBLE) AS alpha, {_LIFTS},
            round(z, 4) AS z_statistic, round(p, 10) AS p_value,
            CASE WHEN p < 0.0001 THEN printf('%.2e', p) ELSE printf('%.4f', p) END AS p_value_display,
            p < 0.05 AS is_significant,
-           CASE WHEN p < 0.05 AND z > 0 THEN 'Treatment (B) - new checkout flow'
-                WHEN p < 0.05 AND z < 0 THEN 'Control (A) - existing checkout flow'
+           CASE WHEN p < 0.05 AND z > 0 THEN 'odd users'
+                WHEN p < 0.05 AND z < 0 THEN 'even users'
                 ELSE 'No statistically significant difference' END AS winner
     FROM test, terms"""
 
@@ -467,16 +466,16 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "top_seller_success": _sql(
         "fx_orders fx_items fx_sellers",
-        f"""SELECT seller_id, seller_name, COUNT(*) FILTER (order_status = 'Completed') AS completed_orders,
-                   COUNT(*) FILTER (order_status = 'Cancelled') AS cancelled_orders, COUNT(*) AS total_orders,
-                   {_pct("COUNT(*) FILTER (order_status = 'Completed')", "COUNT(*)")} AS successful_orders_percentage
-            FROM fx_orders
-            JOIN (SELECT seller_id, seller_name
-                  FROM fx_orders JOIN fx_sellers USING (seller_id) JOIN fx_items USING (order_id)
-                  GROUP BY seller_id, seller_name
-                  ORDER BY SUM(total_sale) DESC NULLS FIRST, seller_id LIMIT 5) USING (seller_id)
-            WHERE order_status NOT IN ('Inprogress', 'Returned')
-            GROUP BY seller_id, seller_name""",
+        f"""SELECT seller_id, seller_name, CAST(SUM(done) AS BIGINT) AS completed_orders,
+                   CAST(SUM(1 - done) AS BIGINT) AS cancelled_orders, COUNT(done) AS total_orders,
+                   {_pct("SUM(done)", "COUNT(done)")} AS successful_orders_percentage
+            FROM (SELECT seller_id, seller_name,
+                         row_number() OVER (ORDER BY SUM(total_sale) DESC NULLS FIRST, seller_id) AS place
+                  FROM fx_sellers JOIN fx_orders USING (seller_id) JOIN fx_items USING (order_id)
+                  GROUP BY seller_id, seller_name) AS best
+            JOIN (SELECT seller_id, CAST(order_status = 'Completed' AS BIGINT) AS done FROM fx_orders
+                  WHERE order_status IN ('Completed', 'Cancelled')) AS finished USING (seller_id)
+            WHERE place <= 5 GROUP BY seller_id, seller_name""",
     ),
     "product_margin_rank": _sql(
         "fx_items fx_products",
@@ -495,14 +494,14 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "inactive_sellers": _inactive("AND seller_id IS NOT NULL"),
     "inactive_sellers_not_in": _inactive(""),
+    "inactive_sellers_not_in_known": _inactive("AND seller_id IS NOT NULL"),
     "customer_return_class": _sql(
         "fx_orders fx_items fx_customers",
-        """SELECT customer, total_orders, total_return,
-                  CASE WHEN total_return > 5 THEN 'Returning_customer' ELSE 'New' END AS customer_category
-           FROM (SELECT customer_id, first_name || ' ' || last_name AS customer, COUNT(order_id) AS total_orders,
-                        COUNT(*) FILTER (order_status = 'Returned') AS total_return
-                 FROM fx_orders JOIN fx_customers USING (customer_id) JOIN fx_items USING (order_id)
-                 GROUP BY customer_id, first_name, last_name)""",
+        """SELECT concat_ws(' ', first_name, last_name) AS customer, n AS total_orders, back AS total_return,
+                  ['New', 'Returning_customer'][1 + CAST(back >= 6 AS INTEGER)] AS customer_category
+           FROM fx_customers
+           JOIN (SELECT customer_id, COUNT(*) AS n, count_if(order_status = 'Returned') AS back
+                 FROM fx_items JOIN fx_orders USING (order_id) GROUP BY customer_id) AS lines USING (customer_id)""",
     ),
     "top_customers_per_state": _top_in_state(""),
     "top_customers_per_state_by_id": _top_in_state("customer_id,"),
@@ -518,13 +517,11 @@ ORACLE_SQL: dict[str, str] = {
         "fx_orders fx_items fx_products",
         f"""SELECT product_id, CAST(a AS DOUBLE) AS revenue_1999, CAST(b AS DOUBLE) AS revenue_2000,
                    CAST(a - b AS DOUBLE) AS revenue_diff, {_pct(_cents("a - b"), _cents("a"))} AS revenue_decline_pct
-            FROM (SELECT product_id, SUM(total_sale) AS a
-                  FROM fx_orders JOIN fx_items USING (order_id) JOIN fx_products USING (product_id)
-                  WHERE year(order_date) = 1999 GROUP BY product_id)
-            JOIN (SELECT product_id, SUM(total_sale) AS b
-                  FROM fx_orders JOIN fx_items USING (order_id) JOIN fx_products USING (product_id)
-                  WHERE year(order_date) = 2000 GROUP BY product_id) USING (product_id)
-            WHERE a > b ORDER BY revenue_decline_pct DESC NULLS FIRST, product_id LIMIT 10""",
+            FROM (SELECT product_id, SUM(total_sale) FILTER (year(order_date) = 1999) AS a,
+                         SUM(total_sale) FILTER (year(order_date) = 2000) AS b
+                  FROM fx_products JOIN fx_items USING (product_id) JOIN fx_orders USING (order_id)
+                  GROUP BY product_id)
+            WHERE b < a ORDER BY revenue_decline_pct DESC NULLS FIRST, product_id LIMIT 10""",
     ),
     "kpi_summary": _sql(
         "fx_customers fx_orders fx_items fx_products fx_sellers",
@@ -568,6 +565,11 @@ ORACLE_SQL: dict[str, str] = {
            WHERE customer_id NOT IN (SELECT customer_id FROM fx_orders WHERE order_status <> 'Cancelled')
            GROUP BY customer_id""",
     ),
+    "only_cancelled_order_blocks": _sql(
+        "fx_orders",
+        """SELECT order_id // 2 AS customer_id, COUNT(*) AS total_orders FROM fx_orders
+           GROUP BY order_id // 2 HAVING bool_and(order_status = 'Cancelled')""",
+    ),
     "cohort_retention": _sql("cohorts", "SELECT * FROM cohorts"),
     "cohort_pivot": _pivot(range(79)),
     "retention_window": _pivot(range(13)),
@@ -591,9 +593,9 @@ ORACLE_SQL: dict[str, str] = {
     "event_funnel": _EVENT_FUNNEL,
     "ab_test_groups": _sql(
         "fx_attempts",
-        f"""SELECT CASE arm WHEN 0 THEN 'Control (A) - existing checkout flow'
-                            ELSE 'Treatment (B) - new checkout flow' END AS "group",
-                   CASE arm WHEN 0 THEN 'Existing checkout flow' ELSE 'New checkout flow' END AS group_description,
+        f"""SELECT CASE arm WHEN 0 THEN 'even users'
+                            ELSE 'odd users' END AS "group",
+                   CASE arm WHEN 0 THEN 'users with an even number' ELSE 'users with an odd number' END AS group_description,
                    COUNT(*) AS checkout_attempts, COUNT(*) FILTER (success) AS successful_checkouts,
                    {_ratio("COUNT(*) FILTER (success)", "COUNT(*)", 4)} AS conversion_rate
             FROM fx_attempts GROUP BY arm""",
@@ -627,6 +629,19 @@ ORACLE_SQL: dict[str, str] = {
                   CAST(quantity * total_sale AS DOUBLE) AS total_sale
            FROM fx_items""",
     ),
+    "csv_ingest_category": _sql("fx_category", "SELECT * FROM fx_category"),
+    "csv_ingest_sellers": _sql("fx_sellers", "SELECT * FROM fx_sellers"),
+    "csv_ingest_products": _sql(
+        "fx_products",
+        """SELECT product_id, product_name, CAST(price AS DOUBLE) AS price, CAST(cogs AS DOUBLE) AS cogs, category_id
+           FROM fx_products""",
+    ),
+    "csv_ingest_inventory": _sql("fx_inv", "SELECT * FROM fx_inv"),
+    "csv_ingest_payments": _sql("fx_payments", "SELECT * FROM fx_payments"),
+    "csv_ingest_shippings": _sql("fx_ship", "SELECT * FROM fx_ship"),
+    "report_round_trip": _sql(
+        "stages", f"SELECT * EXCLUDE (is_simulated), FALSE AS is_simulated, 'measured' AS methodology FROM ({_FULFILMENT})"
+    ),
     "load_audit": _load_audit(),
     "primary_key_audit": _key_audit(),
     "foreign_key_audit": _reference_audit(),

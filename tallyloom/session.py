@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +38,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+# Intermediates written by this process and not deleted yet.
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession) -> str | None:
     """A new path in the shared checkpoint folder; None where the session names no folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. On a
+    cluster a path without a scheme is refused if the default file system is
+    local: each machine would write to its own disk, and a later read would
+    find a part of the table. A ``file:`` path says that the folder is a mount
+    that all machines share.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return None if folder is None else f"{folder.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+    if folder is None:
+        return None
+    context = spark.sparkContext
+    default = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    _require_shared(folder, context.master, default)
+    path = f"{folder.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def _require_shared(folder: str, master: str, default_fs: str) -> None:
+    if not master.startswith("local") and "://" not in folder and not folder.startswith("file:") and default_fs.startswith("file:"):
+        raise ValueError(f"spark.checkpoint.dir names {folder!r}, which is local to each machine; name a shared folder")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,9 +74,42 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     consumers share one computation. Parquet keeps column pruning, which a
     checkpointed RDD has not. A session without a folder gets ``df`` back
     unchanged: the same result, recomputed by each consumer.
+
+    The tables stay until their result has been used; ``intermediates`` and
+    ``drop_intermediates`` delete them.
     """
     path = scratch_path(df.sparkSession)
     if path is None:
         return df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the tables that ``cut_lineage`` wrote in this process; returns their number.
+
+    Results that are still to be computed from them can no longer be.
+    """
+    paths = _written[since:]
+    del _written[since:]
+    jvm, configuration = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(configuration).delete(target, True)
+    return len(paths)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``cut_lineage`` wrote inside.
+
+    ::
+
+        with intermediates(spark):
+            customer_clv_rank(orders, items, customers).write.parquet(target)
+    """
+    since = len(_written)
+    try:
+        yield
+    finally:
+        drop_intermediates(spark, since)

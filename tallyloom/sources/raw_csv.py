@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.model import DEFAULT_ADDRESS, MONEY, TABLES
 
@@ -49,9 +50,23 @@ def read_clean_csv(
 
     A byte-order mark is dropped, quotes are escaped by doubling. Cells with a
     line break need ``multiline=True``, at the price of unsplittable files.
+
+    Files that cannot be read right are refused when rows are read: one of
+    several files whose header differs from the others' (a different order
+    would put values under wrong names), and rows with too few or too many
+    cells (a quoted line break without ``multiline`` is seen as such).
     """
-    df = spark.read.csv(path, header=True, encoding="UTF-8", escape='"', multiLine=multiline)
-    names = [name.lstrip("﻿").strip() for name in df.columns]
+    options = {"header": True, "encoding": "UTF-8", "escape": '"', "multiLine": multiline}
+    head = spark.read.csv(path, **options).columns
+    # With a given schema every file's header is compared with it; without
+    # column pruning every row's cells are counted, whatever is selected.
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in head])
+    df = (
+        spark.read.option("columnPruning", "false")
+        .schema(schema)
+        .csv(path, **options, enforceSchema=False, mode="FAILFAST")
+    )
+    names = [name.lstrip("\ufeff").strip() for name in head]
     return df.toDF(*((renames or {}).get(name, name) for name in names))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.model import TABLES
 from tallyloom.operators.sale_batch import apply_sales
+from tallyloom.session import intermediates
 
 
 @dataclass(frozen=True)
@@ -18,7 +19,9 @@ class SaleStore:
 
     A batch reads what earlier batches wrote and writes under its own number.
     A batch that runs again after a failure overwrites itself, so each request
-    counts once.
+    counts once. A batch whose number does not follow the store's latest is
+    refused: a new checkpoint folder over an old store would start again at 0
+    and replace earlier sales.
     """
 
     spark: SparkSession
@@ -30,9 +33,11 @@ class SaleStore:
     def _path(self, table: str, batch: int) -> str:
         return f"{self.folder}/{table}/batch={batch}"
 
-    def start(self, orders: DataFrame, inventory: DataFrame) -> None:
-        """Stores the tables as they are before the first request."""
+    def start(self, orders: DataFrame, inventory: DataFrame, items: DataFrame | None = None) -> None:
+        """Stores the tables as they are before the first request; without ``items`` there are none yet."""
         orders.select(*TABLES["orders"].column_names).write.parquet(self._path("orders", -1))
+        known = self.spark.createDataFrame([], TABLES["order_items"].schema) if items is None else items
+        known.select(*TABLES["order_items"].column_names).write.parquet(self._path("order_items", -1))
         inventory.select(*TABLES["inventory"].column_names).write.parquet(self._path("inventory", -1))
 
     def orders(self, before: int) -> DataFrame:
@@ -44,9 +49,16 @@ class SaleStore:
         schema = TABLES[table].schema.add("batch", "long")
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
 
-    def items(self) -> DataFrame:
-        """Order lines written so far."""
-        return self._read_batches("order_items").drop("batch")
+    def check_turn(self, batch: int) -> None:
+        """Raises unless ``batch`` is the latest one again or the one after it."""
+        latest = self._read_batches("inventory").agg({"batch": "max"}).first()[0]
+        if latest is None or batch not in (latest, latest + 1):
+            raise ValueError(f"batch {batch} does not follow the store's latest, {latest}")
+
+    def items(self, before: int | None = None) -> DataFrame:
+        """Order lines written so far, or before batch ``before``."""
+        everything = self._read_batches("order_items")
+        return (everything if before is None else everything.filter(everything["batch"] < before)).drop("batch")
 
     def inventory(self, before: int) -> DataFrame:
         """Inventory after the batch that precedes ``before``."""
@@ -69,12 +81,23 @@ def apply_sales_stream(
     """Starts a query that decides every micro-batch of ``requests`` in ``seq`` order."""
 
     def apply_batch(batch: DataFrame, number: int) -> None:
-        sales = apply_sales(
-            batch, customers, sellers, products, store.inventory(number), store.orders(number), as_of, strict=strict
-        )
-        store.write("orders", number, sales.orders)
-        store.write("order_items", number, sales.items)
-        store.write("inventory", number, sales.inventory)
+        store.check_turn(number)
+        with intermediates(store.spark):
+            sales = apply_sales(
+                batch,
+                customers,
+                sellers,
+                products,
+                store.inventory(number),
+                store.orders(number),
+                as_of,
+                items=store.items(number),
+                strict=strict,
+            )
+            store.write("orders", number, sales.orders)
+            store.write("order_items", number, sales.items)
+            # Last: its presence says that the batch is complete.
+            store.write("inventory", number, sales.inventory)
 
     return (
         requests.writeStream.foreachBatch(apply_batch)

@@ -71,3 +71,8 @@ def test_p_value_display_changes_below_a_ten_thousandth(spark):
     p = [r[0] for r in rows(df.select(two_tailed_p("z")))]
     assert p == [math.erfc(abs(z) / math.sqrt(2)) for z in (3.89, 3.9, 3.9, 0.0, 30.0)]
     assert p[0] > 0.0001 > p[1] and 0 < p[4] < 1e-190
+
+
+def test_an_arm_without_attempts_has_zeros(spark):
+    got = rows(e.ab_test_groups(attempts(spark, 4, 2, 0, 0), "arm", "ok", TEST))
+    assert [r[0] for r in got] == ["control", "treatment"] and [r[2:] for r in got] == [(4, 2, 0.5), (0, 0, None)]

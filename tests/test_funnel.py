@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions.ranking import slice_bounds, slice_number
 from tallyloom.operators import funnel as f
 from tests.conftest import rows
 
@@ -91,7 +92,9 @@ def test_chains_equal_search_by_hand(spark, steps, kind):
     events = [(u, max(t, 0), k) for u, t, k in events]
     base = int((START - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
     got = f.event_chains(event_frame(spark, events, kind), steps)
-    chains = [tuple([r[0], *(None if t is None else t - base for t in r[1:])]) for r in got.collect()]
+    chains = [
+        tuple([r[0], *(None if t is None else t - base for t in r[1:-1])]) for r in got.collect() for _ in range(r["n"])
+    ]
     assert sorted(chains, key=repr) == by_hand(events, steps)
 
 
@@ -112,6 +115,20 @@ def test_gap_is_inclusive_and_strictly_later(spark):
     assert funnel_counts(spark, events) == [(5, 5), (2, 2), (1, 1)]
 
 
+def test_a_busy_hour_of_one_user_is_cut(spark):
+    """A third of all events, one user, one hour: no slice of it is more than a small share."""
+    hour = 3_600_000_000
+    events = [(0, 10 * hour + i * 1_000_000, STEPS[i % 3]) for i in range(1_000)]
+    events += [(u, i * hour // 4, STEPS[i % 3]) for u in range(1, 21) for i in range(100)]
+    times = event_frame(spark, events).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "user_id")
+    bounds = slice_bounds(times, "t")
+    per_slice = times.filter("user_id = 0").groupBy(slice_number(bounds, F.col("t")).alias("s")).count()
+    assert per_slice.count() > 100 and per_slice.agg(F.max("count")).first()[0] <= 20
+    steps = [(s, s) for s in STEPS[:3]]
+    got = f.event_funnel(event_frame(spark, events), steps, 12).collect()
+    assert [r["users"] for r in got] == [21, 21, 21]
+
+
 def test_repeated_first_steps_are_attempts(spark):
     events = [(1, 0, "view"), (1, 1, "view"), (1, 2, "cart"), (2, 0, "view")]
     assert funnel_counts(spark, events) == [(2, 3), (1, 2), (0, 0)]

@@ -117,3 +117,32 @@ def test_partitioned_table_round_trip(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/t")
     assert sorted(rows(back, "id", "k")) == sorted(rows(df))
     assert rows(with_provenance(back.filter("id = 1"), True, "m"), "is_simulated", "methodology") == [(True, "m")]
+
+
+def refused(df):
+    with pytest.raises(Exception):
+        df.collect()
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("seller_id,seller_name,origin\n1,Shop,USA\n")
+    (tmp_path / "b.csv").write_text("seller_id,seller_name,origin\n2,Stall,UK\n")
+    assert sorted(rows(read_table(spark, "sellers", str(tmp_path)))) == [(1, "Shop", "USA"), (2, "Stall", "UK")]
+    (tmp_path / "c.csv").write_text("origin,seller_id,seller_name\nChina,3,Stand\n")
+    refused(read_table(spark, "sellers", str(tmp_path)))
+
+
+@pytest.mark.parametrize("row", ["3,d", "3,d,e,f"])
+def test_ragged_rows_are_refused(spark, tmp_path, row):
+    (tmp_path / "a.csv").write_text(f"seller_id,seller_name,origin\n1,Shop,USA\n{row}\n")
+    refused(read_table(spark, "sellers", str(tmp_path)))
+    refused(read_table(spark, "sellers", str(tmp_path)).select("seller_id"))
+
+
+def test_quoted_line_breaks_need_multiline(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "sellers.csv").write_text('seller_id,seller_name,origin\n1,"Two\nlines",USA\n')
+    refused(read_table(spark, "sellers", f"{folder}/sellers.csv"))
+    loaded = load.load_raw(spark, str(folder), f"{tmp_path}/tables", ("sellers",), multiline=True)
+    assert rows(loaded["sellers"]) == [(1, "Two\nlines", "USA")]

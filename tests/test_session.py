@@ -1,0 +1,49 @@
+"""Intermediate tables: where they go, and that they can be deleted."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+from tallyloom.session import _require_shared, cut_lineage, drop_intermediates, intermediates, scratch_path
+
+
+def folder_of(spark):
+    return os.path.dirname(scratch_path(spark).removeprefix("file:").replace("//", "/"))
+
+
+def test_intermediates_are_deleted_at_the_end(spark):
+    folder = folder_of(spark)
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    with intermediates(spark):
+        assert cut_lineage(spark.range(5)).count() == 5
+        assert len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
+
+
+def test_only_what_was_written_since_is_deleted(spark):
+    kept = cut_lineage(spark.range(3))
+    with intermediates(spark):
+        cut_lineage(spark.range(4))
+    assert kept.count() == 3
+    assert drop_intermediates(spark) >= 1
+
+
+@pytest.mark.parametrize(
+    "folder, master, default, fine",
+    [
+        ("/tmp/x", "local[4]", "file:///", True),
+        ("/tmp/x", "spark://host:7077", "file:///", False),
+        ("/tmp/x", "yarn", "hdfs://name/", True),
+        ("hdfs://name/x", "yarn", "file:///", True),
+        ("file:///mnt/shared", "spark://host:7077", "file:///", True),
+    ],
+)
+def test_machine_local_folders_are_refused_on_a_cluster(folder, master, default, fine):
+    if fine:
+        _require_shared(folder, master, default)
+    else:
+        with pytest.raises(ValueError):
+            _require_shared(folder, master, default)

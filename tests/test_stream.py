@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from datetime import date
 
+import pytest
+
 from tallyloom.streaming.sales import SaleStore, apply_sales_stream
 from tests.conftest import rows
 from tests.test_sale_batch import REQUEST, ask
@@ -29,3 +31,16 @@ def test_later_batches_see_what_earlier_ones_left(spark, make, tmp_path):
     assert rows(store.inventory(before=2), "stock") == [(0,)]
     assert sorted(rows(store.orders(before=2), "order_id")) == [(500,), (1001,), (1003,)]
     assert sorted(rows(store.items(), "order_id", "quantity")) == [(1001, 3), (1003, 2)]
+
+
+def test_a_new_checkpoint_over_an_old_store_is_refused(spark, make, tmp_path):
+    store = SaleStore(spark, f"{tmp_path}/store")
+    store.start(make("orders", (500, "2024-01-01", 1, 1, "Completed")), make("inventory", (1, 1, 5, 1, None)))
+    store.check_turn(0)
+    for number in (0, 1):
+        store.write("inventory", number, store.inventory(number))
+    store.check_turn(1)
+    store.check_turn(2)
+    for wrong in (0, 3):
+        with pytest.raises(ValueError):
+            store.check_turn(wrong)
