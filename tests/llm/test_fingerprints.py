@@ -1,0 +1,75 @@
+"""Fingerprints: the sampling's promise, and neighbours against a plain sort."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+
+from tallyloom.llm.fingerprints import fingerprint, fingerprint_with_edits, fingerprints, likeness, sample, terms
+from tallyloom.llm.words import WordHashes, mix
+
+
+def plain(rows):
+    h = WordHashes()
+    known = sorted({(d, t or "") for d, t in rows if d is not None}, key=lambda x: (-x[0], x[1]))
+    first = {}
+    for d, t in known:
+        first.setdefault(d, t)
+    ids = sorted(first, reverse=True)
+    follows = {d: first[ids[(i + 1) % len(ids)]] for i, d in enumerate(ids)}
+    out = []
+    for d, t in rows:
+        text = t or ""
+        following = "" if d is None else follows[d]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        a, b, c = (fingerprint(x, h) for x in (text, edited, following))
+        out.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), likeness(a, b), likeness(a, c)))
+    return sorted(out, key=repr)
+
+
+def test_neighbours_and_edits(docs_of):
+    rng = random.Random(1)
+    text = lambda n: " ".join(rng.choice("alpha beta gamma delta épée 😀 zeta".split()) for _ in range(n))
+    cases = [
+        [(i, text(rng.randint(0, 40))) for i in rng.sample(range(-500, 500), 120)],
+        [(1, "a b c")],
+        [(5, None), (9, ""), (-3, "x y z w")],
+        [(2, "q w"), (2, "q w"), (2, "a s d"), (7, "long " * 5000), (None, "abc def"), (None, None)],
+    ]
+    for rows in cases:
+        got = sorted([tuple(r) for r in fingerprint_with_edits(docs_of(rows, 3)).collect()], key=repr)
+        assert got == plain(rows)
+    assert fingerprint_with_edits(docs_of([])).collect() == []
+
+
+def test_equal_texts_have_equal_fingerprints(docs_of):
+    rows = fingerprints(docs_of([(1, "one two three"), (2, "one two three"), (3, None), (4, ""), (5, "ONE two  three")])).collect()
+    by_id = {r.doc_id: r.fingerprint for r in rows}
+    assert by_id[1] == by_id[2] == by_id[5] and by_id[3] == by_id[4] == "0" * 256 and by_id[1] != by_id[3]
+
+
+def test_collision_rate_is_generalised_jaccard():
+    rng = np.random.default_rng(4)
+    errors = []
+    for _ in range(150):
+        n = int(rng.integers(5, 300))
+        names = np.unique(mix(rng.integers(0, 1 << 60, n).astype(np.uint64)))
+        a, b = (rng.poisson(rng.uniform(0.3, 4), len(names)) for _ in range(2))
+        b = np.where(rng.random(len(names)) < 0.7, a, b)
+        if not a.any() or not b.any():
+            continue
+        exact = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        errors.append(likeness(sample(names[a > 0], a[a > 0]), sample(names[b > 0], b[b > 0])) - exact)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
+
+
+def test_long_texts_are_sampled_in_parts():
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(40_000)]
+    h, w = terms(" ".join(words), WordHashes())
+    whole = sample(h, w)
+    assert len(h) > 8192 and (whole > 0).all()
+    assert likeness(whole, fingerprint(" ".join(words[:20_000]), WordHashes())) < 0.75

@@ -1,0 +1,84 @@
+"""Repeated byte strings against a count of all windows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tallyloom.llm import suffix_dedup
+from tallyloom.llm.suffix_dedup import LENGTH, without_repeats
+from tallyloom.llm.suffix_sort import blind_trie_order, deep_shallow_order, neighbours_common, padded
+
+
+def plain(rows):
+    raws = [(doc, (text or "").encode()) for doc, text in rows]
+    seen = Counter(raw[a : a + LENGTH] for _, raw in raws for a in range(len(raw) - LENGTH + 1))
+    out = []
+    for doc, raw in raws:
+        gone = np.zeros(len(raw) + 1, bool)
+        for a in range(len(raw) - LENGTH + 1):
+            if seen[raw[a : a + LENGTH]] > 1:
+                gone[a : a + LENGTH] = True
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone[: len(raw)]])
+        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        out.append((doc, len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def corpus():
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    base = make(900)
+    rows = [
+        (1, None), (2, ""), (3, "a" * 1000), (4, base), (5, base[:500] + make(300)), (6, base[300:520] + "xx" + base[300:499]),
+        (7, "é" * 150), (8, "q" + "é" * 150), (9, base), (10, "ab" * 400 + base[100:350]), (None, base[10:400]),
+        (11, base[10:210]), (12, "\x00" * 250 + base[700:]), (12, make(10)), (12, make(199)), (13, make(200)),
+    ]
+    passage = make(260)
+    return rows + [(100 + i, make(rng.randint(0, 120)) + passage + make(rng.randint(0, 300))) for i in range(30)]
+
+
+@pytest.mark.parametrize("hot, most_sorted", [(64, 20_000), (2, 20_000), (64, 1)])
+def test_equals_all_windows(docs_of, monkeypatch, hot, most_sorted):
+    monkeypatch.setattr(suffix_dedup, "HOT_IN_BATCH", hot)
+    rows = corpus()
+    got = without_repeats(docs_of(rows, 3), most_sorted)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == plain(rows)
+
+
+def test_kept_bytes_come_along(docs_of):
+    rows = corpus()[:12]
+    for r in without_repeats(docs_of(rows), with_kept=True).collect():
+        assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed
+
+
+def test_empty_table(docs_of):
+    assert without_repeats(docs_of([])).collect() == []
+
+
+def test_deep_shallow_order_is_the_order_of_bytes():
+    rng = random.Random(2)
+    for alphabet, n in ((b"ab", 400), (b"\x00a", 200), (bytes(range(256)), 100), (b"a", 60)):
+        strings = [bytes(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+        strings += strings[:20] + [s + b"x" * 40 for s in strings[:20]]
+        lengths = np.array([len(s) for s in strings])
+        matrix = padded(strings, int(lengths.max()))
+        order = deep_shallow_order(strings, matrix)
+        assert sorted(order.tolist()) == list(range(len(strings)))
+        ordered = [strings[i] for i in order]
+        assert ordered == sorted(strings)
+        common = neighbours_common(matrix, lengths, order)
+        for k in range(1, len(ordered)):
+            a, b = ordered[k - 1], ordered[k]
+            expected = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert common[k] == expected
+
+
+def test_blind_trie_keeps_equal_strings_in_order():
+    strings = [b"b", b"a", b"", b"ab", b"a", b"b", b"abc"]
+    assert blind_trie_order(strings, list(range(7))) == [2, 1, 4, 3, 6, 0, 5]
