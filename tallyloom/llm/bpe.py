@@ -226,6 +226,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
+        # The worker lives on after the task; the words it has met need not.
+        bpe.known.clear()
 
     chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return map_slices(chosen, run, schema)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import connected_components
-from tallyloom.llm.tables import map_slices, may_be_in, partitions, without
+from tallyloom.llm.tables import map_slices, partitions, without
 from tallyloom.llm.words import WordHashes, ascii_words, mix, shingle_set
 from tallyloom.session import cut_lineage
 
@@ -451,8 +451,7 @@ def linked_sets(docs: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataF
         .join(classes, "node")
         .select("node", F.col("least_id").alias("doc_id"))
     )
-    some = docs.filter(may_be_in(wanted.select("doc_id"), "doc_id"))
-    packed = map_slices(some, _pack(rule, buckets), _PACKED, rows=2048)
+    packed = map_slices(docs, _pack(rule, buckets), _PACKED, rows=2048, members=wanted.select("doc_id"))
     members = cut_lineage(
         packed.groupBy("bucket")
         .applyInPandas(_unpack, _GROUPED)
@@ -460,9 +459,8 @@ def linked_sets(docs: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataF
         .join(wanted.select("node"), "node", "left_semi")
     )
     of_members = members.select("node").distinct().join(wanted, "node").select("doc_id")
-    member_docs = docs.filter(may_be_in(cut_lineage(of_members), "doc_id"))
     grams = (
-        map_slices(member_docs, _grams_of(rule), "node long, grams binary")
+        map_slices(docs, _grams_of(rule), "node long, grams binary", members=of_members)
         .groupBy("node")
         .agg(F.first("grams").alias("grams"))
     )

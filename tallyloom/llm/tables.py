@@ -33,13 +33,33 @@ def partitions(spark: SparkSession) -> int:
 
 
 def map_slices(
-    df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = SLICE
+    df: DataFrame,
+    run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    schema: str,
+    rows: int = SLICE,
+    members: DataFrame | None = None,
 ) -> DataFrame:
-    """``df.mapInPandas(run, schema)`` with frames of at most ``rows`` rows, to bound a task's memory."""
+    """``df.mapInPandas(run, schema)`` with frames of at most ``rows`` rows, to bound a task's memory.
+
+    With ``members`` (one column, also a column of ``df``) rows whose value is not among
+    them are mostly left out beforehand: all members come through, and some others.
+    """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    bits = None
+    if members is not None:
+        (column,) = members.columns
+        bits = bit_array(members.select(_place(column).alias("place")), "place")
+        df = df.withColumn("_place", _place(column))
+
+    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if bits is None:
+            return batch
+        at = batch.schema.get_field_index("_place")
+        mask = pa.array(_is_set(bits, batch.column(at).to_numpy(zero_copy_only=False)))
+        return batch.select([c for c in batch.schema.names if c != "_place"]).filter(mask)
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (b.slice(at, rows).to_pandas() for b in batches for at in range(0, b.num_rows, rows))
+        parts = (b.slice(at, rows).to_pandas() for b in map(chosen, batches) for at in range(0, b.num_rows, rows))
         for out in run(parts):
             if len(out):
                 yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
@@ -66,6 +86,11 @@ def bit_array(places: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def _is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    at = places.astype(np.int64)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _place(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BITS))
 
@@ -76,8 +101,7 @@ def may_be_in(members: DataFrame, column: str) -> Column:
 
     @F.pandas_udf("boolean")
     def test(places: pd.Series) -> pd.Series:
-        at = places.to_numpy().astype(np.int64)
-        return pd.Series(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+        return pd.Series(_is_set(bits, places.to_numpy()))
 
     return test(_place(column))
 
