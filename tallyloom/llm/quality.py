@@ -161,7 +161,9 @@ def _gradients(params, rows, counts, starts, y, share) -> dict[str, np.ndarray]:
     back = d[:, None] * params["weights"][None, :]
     of = np.repeat(np.arange(len(counts)), counts)
     g = back[of, :FILTERS] / counts[of][:, None]
-    g = g + back[of, FILTERS:] * (p == high[of]) * (high[of] > 0)
+    # Chunks that share a maximum share its gradient.
+    top_chunks = (p == high[of]).astype(float)
+    g = g + back[of, FILTERS:] * top_chunks / np.add.reduceat(top_chunks, starts, axis=0)[of]
     g = g * (pre > 0)
     filters = np.zeros_like(params["filters"])
     lanes = np.broadcast_to(np.arange(FILTERS), best.shape)
