@@ -32,11 +32,11 @@ _LONG = CHUNK + WIDTH - 1
 
 @dataclass(frozen=True)
 class FitSample:
-    """Bounds of what the classifier is fitted on, and its passes over it."""
+    """Bounds of what the classifier is fitted on, and its steps of 32 texts each."""
 
     rows_per_label: int = 1500
     chunks: int = 12
-    epochs: int = 12
+    steps: int = 750
     seed: int = 7
 
 
@@ -118,22 +118,21 @@ def fit(samples: list[tuple[np.ndarray, int]], how: FitSample) -> Network:
     labels = np.array([label for _, label in samples])
     share = {v: (labels == v).mean() for v in (0, 1)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
-    step = 0
-    for epoch in range(how.epochs):
-        order = rng.permutation(len(samples))
-        rate = 0.02 * (1 - epoch / how.epochs) + 0.001
-        for at in range(0, len(order), 32):
-            chosen = order[at : at + 32]
-            rows = np.concatenate([samples[i][0] for i in chosen])
-            counts = np.array([len(samples[i][0]) for i in chosen])
-            starts = np.cumsum(counts) - counts
-            grads = _gradients(params, rows, counts, starts, labels[chosen], share)
-            step += 1
-            for k, g in grads.items():
-                m, v = moments[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                params[k] = params[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    order: list[int] = []
+    for step in range(1, how.steps + 1):
+        if not order:
+            order = rng.permutation(len(samples)).tolist()
+        chosen, order = order[:32], order[32:]
+        rate = 0.02 * (1 - step / how.steps) + 0.001
+        rows = np.concatenate([samples[i][0] for i in chosen])
+        counts = np.array([len(samples[i][0]) for i in chosen])
+        starts = np.cumsum(counts) - counts
+        grads = _gradients(params, rows, counts, starts, labels[chosen], share)
+        for k, g in grads.items():
+            m, v = moments[k]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            params[k] = params[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Network(params["filters"], params["bias"], params["weights"], float(params["offset"][0]))
 
 

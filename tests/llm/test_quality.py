@@ -11,7 +11,7 @@ import pytest
 from tallyloom.llm import quality as q
 
 FOLDER = "/root/testdata/sf0.01"
-HOW = q.FitSample(rows_per_label=60, chunks=4, epochs=6)
+HOW = q.FitSample(rows_per_label=60, chunks=4, steps=60)
 
 
 def junk(i):
