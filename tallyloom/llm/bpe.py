@@ -36,6 +36,28 @@ _NO_MERGE = 1 << 60
 _PLACE = (1 << 32) - 1
 # Fixed value: Unicode's White_Space, which is what the file's patterns mean by \s.
 _SPACE = r"\t-\r \x85\xa0  -     　"
+# Letters and numbers of the pattern library's Unicode version that the
+# tokenizer's older one does not know (there they are neither), as code point ranges.
+_NEWER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3
+16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6
+1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
+1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+# Capitals that Python's Unicode version has no lower case for: first, last, first lower case.
+_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B),
+    (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_LOWER = {c: lower + c - first for first, last, lower in _CAPITALS for c in range(first, last + 1)}
+
+
+def _newer_class() -> str:
+    """The newer code points as the inside of a character class."""
+    ends = [part.split("-") for part in _NEWER.split()]
+    return "".join(f"\\U{int(e[0], 16):08x}-\\U{int(e[-1], 16):08x}" for e in ends)
 
 
 def _byte_characters() -> list[str]:
@@ -102,6 +124,14 @@ def merge_word(symbols: list[int], ranks: dict[int, int], merged: list[int]) ->
     return [x for x in symbols if x >= 0]
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Words(dict):
     """Ids of words as packed unsigned 32-bit integers; forgets all when there are too many."""
 
@@ -142,6 +172,11 @@ class WordBpe:
         (split,) = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         pattern = split["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACE}")
         self.words = regex.compile(pattern)
+        # The same pattern with the newer code points as neither letters nor numbers.
+        newer = _newer_class()
+        older = pattern.replace(r"[\p{L}]", rf"[\p{{L}}--[{newer}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{newer}]]")
+        self.older_words = regex.compile("(?V1)" + older.replace(rf"[^{_SPACE}\p{{L}}\p{{N}}]", rf"[[^{_SPACE}\p{{L}}\p{{N}}]||[{newer}]]"))
+        self.newer = regex.compile(f"[{newer}]")
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) or r"(?!)")
         self.known = _Words(self._encode_word, remembered)
 
@@ -153,7 +188,11 @@ class WordBpe:
     def _plain(self, text: str) -> bytes:
         # Lower case goes character by character: a final sigma is no special case.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.known.__getitem__, self.words.findall(text)))
+        words = self.words
+        if not _is_latin(text):
+            text = text.translate(_LOWER) if any(c in text for c in map(chr, _LOWER)) else text
+            words = self.older_words if self.newer.search(text) else words
+        return b"".join(map(self.known.__getitem__, words.findall(text)))
 
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -24,6 +24,7 @@ TEXTS = [
     "é é 가 ̈́ Å Ω",
     "😀👩‍👩‍👧 🇩🇪 ½ ² ٣ 日本語テスト한국어",
     "\x00\x01￾",
+    "a\u0558b \U0001e6c0x 1\U00011de0 \U00010d50\ua7cb\u1c89 \U00016ea0",
     "x" * 3000,
     "the" * 2000 + " " + "ab" * 500,
 ]
@@ -45,7 +46,7 @@ def library():
 def random_texts():
     rng = random.Random(3)
     pick = lambda: rng.choice(
-        [chr(rng.randrange(32, 0x500)), " ", "'", "s", "<|endoftext|>", "́", chr(rng.randrange(0x4E00, 0x9FA5)), "The"]
+        [chr(rng.randrange(32, 0x500)), " ", "'", "s", "<|endoftext|>", "́", chr(rng.randrange(0x4E00, 0x9FA5)), "The", chr(rng.randrange(0x10000, 0x3FFFF))]
     )
     return ["".join(pick() for _ in range(60)) for _ in range(200)]
 
