@@ -209,30 +209,49 @@ def _count_pack(rule: JaccardRule, buckets: int):
                     times.astype(np.uint32).tobytes(),
                     b"",
                 ]
-            for b, at in _dealt((documents["node"] % np.uint64(buckets)).astype(np.int64), buckets):
+            # Not by node: one set may be that of very many documents.
+            spread = mix(documents["doc_id"].view(np.uint64) + np.uint64(1))
+            for b, at in _dealt((spread % np.uint64(buckets)).astype(np.int64), buckets):
                 rows.setdefault(b, [b""] * 5)[4] = documents[at].tobytes()
             yield pd.DataFrame([(b, *row) for b, row in rows.items()], columns=[c.split()[0] for c in _COUNTED.split(", ")])
 
     return run
 
 
-def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per node how many of its n-grams in the bucket others have too; and the documents."""
-    high = np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64)
-    key = (high << np.uint64(32)) | np.frombuffer(b"".join(pdf["low"]), np.uint32)
-    node = np.repeat(np.frombuffer(b"".join(pdf["nodes"]), np.uint64), np.frombuffer(b"".join(pdf["times"]), np.uint32))
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    if len(key):
-        # The mark that a batch has several sets with an n-gram stands for two.
-        weight = np.where(node == 0, 2, 1)
-        weight[1:][(key[1:] == key[:-1]) & (node[1:] == node[:-1])] = 0
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        total = np.repeat(np.add.reduceat(weight, starts), np.diff(np.append(starts, len(key))))
-        found = (total > 1) & (weight == 1)
-        names, met = np.unique(node[found], return_counts=True)
-    else:
-        names, met = np.empty(0, np.uint64), np.empty(0, np.int64)
+_ANSWERED = "part int, nodes binary, met binary, documents binary"
+
+
+def _count(buckets: int):
+    """Per node how many of its n-grams in the bucket others have too, dealt by node; documents go through."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        high = np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64)
+        key = (high << np.uint64(32)) | np.frombuffer(b"".join(pdf["low"]), np.uint32)
+        node = np.repeat(
+            np.frombuffer(b"".join(pdf["nodes"]), np.uint64), np.frombuffer(b"".join(pdf["times"]), np.uint32)
+        )
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        rows = [(int(pdf["bucket"].iloc[0]), b"", b"", b"".join(pdf["documents"]))]
+        if len(key):
+            # The mark that a batch has several sets with an n-gram stands for two.
+            weight = np.where(node == 0, 2, 1)
+            weight[1:][(key[1:] == key[:-1]) & (node[1:] == node[:-1])] = 0
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            total = np.repeat(np.add.reduceat(weight, starts), np.diff(np.append(starts, len(key))))
+            names, met = np.unique(node[(total > 1) & (weight == 1)], return_counts=True)
+            for part, at in _dealt((names % np.uint64(buckets)).astype(np.int64), buckets):
+                rows.append((part, names[at].tobytes(), met[at].astype(np.uint32).tobytes(), b""))
+        return pd.DataFrame(rows, columns=["part", "nodes", "met", "documents"])
+
+    return run
+
+
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row per node with its n-grams met elsewhere (n = -1), and one per document."""
+    nodes = np.frombuffer(b"".join(pdf["nodes"]), np.uint64)
+    names, inverse = np.unique(nodes, return_inverse=True)
+    met = np.bincount(inverse, np.frombuffer(b"".join(pdf["met"]), np.uint32), len(names)).astype(np.int64)
     documents = np.frombuffer(b"".join(pdf["documents"]), _DOCUMENT)
     n = len(names)
 
@@ -435,12 +454,13 @@ def linked_sets(docs: DataFrame, rule: JaccardRule, block: int = BLOCK) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(partitions(spark), 1)
     counted = map_slices(docs, _count_pack(rule, buckets), _COUNTED, rows=2048)
-    met = cut_lineage(counted.groupBy("bucket").applyInPandas(_count, _MET))
+    answered = counted.groupBy("bucket").applyInPandas(_count(buckets), _ANSWERED)
+    met = cut_lineage(answered.groupBy("part").applyInPandas(_add_up, _MET))
     info = met.filter(F.col("n") >= 0).select("doc_id", "node", "n")
     known = info.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = known.groupBy("node").agg(F.min("doc_id").alias("least_id"))
     missing = F.floor(F.col("n") * (rule.den - rule.num) / rule.den)
-    elsewhere = met.filter(F.col("n") < 0).groupBy("node").agg(F.sum("met").alias("elsewhere"))
+    elsewhere = met.filter(F.col("n") < 0).select("node", F.col("met").alias("elsewhere"))
     wanted = cut_lineage(
         met.filter(F.col("n") > 0)
         .groupBy("node", "n", "half")
