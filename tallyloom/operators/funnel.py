@@ -103,10 +103,10 @@ def event_chains(
     rows = events.filter(known).select(F.col(user).alias("user"), clock.alias("t"), step.cast("int").alias("step"))
     bounds = slice_bounds(rows.select("t"), "t")
     rows = rows.groupBy("user", "t", "step").agg(F.count(F.lit(1)).alias("n"))
-    # The filter is implied; stated here, it is the same in both branches of the
-    # join below, so that they share one exchange of the events.
+    # The filters are implied; stated here, they and the columns they need are the
+    # same in both branches of the join below, which so share one scan and exchange.
     rows = rows.withColumn("slice", slice_number(bounds, F.col("t")))
-    rows = rows.filter(F.col("slice").isNotNull())
+    rows = rows.filter(F.col("slice").isNotNull() & (F.col("n") > 0))
 
     # Descending time makes "strictly later" a growing frame: one pass per step.
     later = W.partitionBy("user", "slice").orderBy((-F.col("t")).alias("desc")).rangeBetween(W.unboundedPreceding, -1)
