@@ -18,7 +18,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tallyloom.registry.queries import QUERIES  # noqa: E402
-from tallyloom.session import local_session  # noqa: E402
+from tallyloom.session import intermediates, local_session  # noqa: E402
 
 HEADLINE = [
     "top_products",
@@ -60,9 +60,10 @@ def main() -> None:
     for name in chosen:
         times = []
         for _ in range(runs + 1):
-            start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - start)
+            with intermediates(spark):
+                start = time.perf_counter()
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+                times.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(times[1:]), 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr)
     spark.stop()
