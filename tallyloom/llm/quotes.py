@@ -165,32 +165,47 @@ def _parents(parsed: DataFrame) -> DataFrame:
 
 
 def _roots(parents: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(conv_id, turn, r_conv, r_turn, depth) for messages that reply to one, by pointer jumping."""
+    """(conv_id, turn, r_conv, r_turn, depth) for messages that reply to one, by pointer jumping.
+
+    In each round a message's pointer goes on by as far as the message it points to has
+    come. One that has reached a first message is done and takes no further part, so the
+    rounds that a few long chains need are short.
+    """
     now = cut_lineage(
         parents.select(
-            "conv_id", "turn", F.col("p_conv").alias("r_conv"), F.col("p_turn").alias("r_turn"), F.lit(1).cast("long").alias("depth")
+            "conv_id",
+            "turn",
+            F.col("p_conv").alias("r_conv"),
+            F.col("p_turn").alias("r_turn"),
+            F.lit(1).cast("long").alias("depth"),
+            F.lit(False).alias("done"),
         )
     )
+    finished = now.limit(0)
     for _ in range(most_rounds):
-        up = now.select(
+        up = now.unionByName(finished).select(
             F.col("conv_id").alias("r_conv"),
             F.col("turn").alias("r_turn"),
             F.col("r_conv").alias("u_conv"),
             F.col("r_turn").alias("u_turn"),
             F.col("depth").alias("more"),
+            F.col("done").alias("u_done"),
         )
-        moved = now.join(up, ["r_conv", "r_turn"], "left").select(
-            "conv_id",
-            "turn",
-            F.coalesce("u_conv", "r_conv").alias("r_conv"),
-            F.coalesce("u_turn", "r_turn").alias("r_turn"),
-            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            F.col("more").isNotNull().alias("moved"),
+        moved = cut_lineage(
+            now.join(up, ["r_conv", "r_turn"], "left").select(
+                "conv_id",
+                "turn",
+                F.coalesce("u_conv", "r_conv").alias("r_conv"),
+                F.coalesce("u_turn", "r_turn").alias("r_turn"),
+                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+                # What points to a message that replies to nothing is done.
+                F.coalesce("u_done", F.lit(True)).alias("done"),
+            )
         )
-        moved = cut_lineage(moved)
-        now = moved.drop("moved")
-        if moved.filter("moved").limit(1).count() == 0:
-            return now
+        finished = cut_lineage(finished.unionByName(moved.filter("done")))
+        now = moved.filter(~F.col("done"))
+        if now.limit(1).count() == 0:
+            return finished.drop("done")
     raise RuntimeError(f"reply chains did not end in {most_rounds} rounds")
 
 
