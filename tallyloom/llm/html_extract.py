@@ -536,15 +536,16 @@ def fit_trees(sources: list[str], how: FitPages) -> Trees:
 
 
 def fit_pages(pages: DataFrame, how: FitPages = FitPages()) -> Trees:
-    """Trees fitted on the bounded sample of ``pages`` (page_id, html)."""
-    rows = (
-        pages.filter(F.length("html") <= how.most_chars)
-        .select(F.xxhash64("page_id").alias("place"), "html")
-        .orderBy("place", "html")
-        .limit(how.pages)
-        .collect()
-    )
-    return fit_trees([r.html for r in rows], how)
+    """Trees fitted on the bounded sample of ``pages`` (page_id, html).
+
+    The sample is chosen by page_id alone; only the chosen pages' html, the least of a
+    repeated page_id, goes to the driver. Rows without page_id are not sampled.
+    """
+    small = pages.filter(F.col("page_id").isNotNull() & (F.length("html") <= how.most_chars))
+    few = small.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(how.pages)
+    # At most ``how.pages`` ids: a bound, whatever the table's size.
+    rows = small.join(F.broadcast(few), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()
+    return fit_trees([r.html for r in sorted(rows, key=lambda r: r.page_id)], how)
 
 
 def page_texts(pages: DataFrame, trees: Trees, at_once: int = 64) -> DataFrame:
