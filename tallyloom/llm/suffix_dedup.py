@@ -187,7 +187,8 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
         new_class[1:] |= context[1:] != context[:-1]
     cls, grp = np.cumsum(new_class) - 1, np.cumsum(new_key) - 1
     of_class = np.bincount(cls)[cls] if len(key) else np.empty(0, int)
-    whole = (of_class > 1) & ~hot
+    # A lead that meets its like here may be alone in its own bucket; seen twice it does no harm.
+    whole = of_class > 1
     if by_context:
         # Other contexts of the key are elsewhere: each one's first goes on to be sorted.
         sort = new_class

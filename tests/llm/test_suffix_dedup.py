@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tallyloom.llm import suffix_dedup
-from tallyloom.llm.suffix_dedup import LENGTH, without_repeats
+from tallyloom.llm.suffix_dedup import GRAM, LENGTH, occurrences, without_repeats
 from tallyloom.llm.suffix_sort import blind_trie_order, deep_shallow_order, neighbours_common, padded
 
 
@@ -51,6 +51,28 @@ def test_equals_all_windows(docs_of, monkeypatch, hot, most_sorted):
     assert sorted([tuple(r) for r in got.collect()], key=repr) == plain(rows)
 
 
+def test_an_anchor_that_is_hot_in_one_batch_only(docs_of, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_IN_BATCH", 4)
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+
+    def alone(begin, n):
+        # Its first window alone has the text's first bytes as anchor.
+        while True:
+            text = begin + make(n - len(begin))
+            _, _, _, first, windows, offset = occurrences([text.encode()])
+            if (first[0], windows[0], offset[0]) == (0, 1, 0):
+                return text
+
+    hot, other = [], []
+    for i in range(0, 120, 10):
+        window = alone("", LENGTH)
+        hot += [(i, window)] + [(i + j, alone(window[:GRAM], 230)) for j in range(1, 5)]
+        other.append((i + 9, alone(window, 330)))
+    got = without_repeats(docs_of(hot, 1).union(docs_of(other, 2)))  # of one partition each, a union would be one batch
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == plain(hot + other)
+
+
 def test_kept_bytes_come_along(docs_of):
     rows = corpus()[:12]
     for r in without_repeats(docs_of(rows), with_kept=True).collect():
