@@ -119,9 +119,9 @@ def _benchmark_seeds(rule: TilingRule):
             rows = []
             for item, text in zip(pdf["item_id"], pdf["text"]):
                 words = _words(text, hashes)
-                seeds = np.unique(rolling(words, rule.seed))
-                rows.append((item, len(words), words.tobytes(), seeds.view(np.int64), np.unique(_bit(seeds))))
-            yield pd.DataFrame(rows, columns=["item_id", "n_words", "words", "seeds", "bits"])
+                seeds, times = np.unique(rolling(words, rule.seed), return_counts=True)
+                rows.append((item, len(words), words.tobytes(), seeds.view(np.int64), times, np.unique(_bit(seeds))))
+            yield pd.DataFrame(rows, columns=["item_id", "n_words", "words", "seeds", "times", "bits"])
 
     return run
 
@@ -179,7 +179,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = Ti
         .select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
         .mapInPandas(
             _benchmark_seeds(rule),
-            "item_id long, n_words int, words binary, seeds array<long>, bits array<long>",
+            "item_id long, n_words int, words binary, seeds array<long>, times array<long>, bits array<long>",
         )
     )
     bits = bit_array(items.select(F.explode("bits").alias("bit")), "bit")
@@ -187,13 +187,15 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = Ti
         F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")
     )
     hits = cut_lineage(map_slices(named, _hits(rule, bits), "doc_id long, stretches binary, seeds array<long>"))
-    of_items = items.select("item_id", "n_words", F.explode("seeds").alias("seed"))
+    of_items = items.select("item_id", "n_words", F.explode(F.arrays_zip("seeds", "times")).alias("of")).select(
+        "item_id", "n_words", F.col("of.seeds").alias("seed"), F.col("of.times").alias("times")
+    )
     of_docs = hits.select("doc_id", F.explode("seeds").alias("seed")).distinct()
     pairs = (
         of_docs.join(of_items, "seed")
         .groupBy("doc_id", "item_id", "n_words")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        # A shared seed covers no more than ``seed`` words.
+        .agg(F.sum("times").alias("shared"))
+        # Each place of a shared seed covers no more than ``seed`` words.
         .filter(F.col("shared") * rule.seed >= F.col("n_words") * rule.coverage)
         .select("doc_id", "item_id", "n_words")
     )

@@ -98,3 +98,11 @@ def test_tiles_are_valid_and_longest_first():
 def test_rule_is_a_parameter(docs_of, benchmark):
     docs = docs_of([(14, text_with(" ".join(WORDS[:19])))])
     assert benchmark_leaks(docs, benchmark, TilingRule(coverage=0.4)).count() == 1
+
+
+def test_an_item_of_few_different_runs(docs_of, spark):
+    refrain = "row row row your boat " * 12
+    items = spark.createDataFrame([(1, refrain), (2, "no " * 50)], "item_id long, text string")
+    docs = docs_of([(10, f"{WORDS[0]} {refrain} {WORDS[1]}"), (11, "oh " + "no " * 50), (12, " ".join(WORDS))])
+    got = {(r.doc_id, r.item_id): r.coverage for r in benchmark_leaks(docs, items).collect()}
+    assert got == {(10, 1): 1.0, (11, 2): 1.0}
