@@ -19,6 +19,7 @@ from tallyloom.llm.secret_scan import secret_digest
 from tallyloom.llm.suffix_dedup import without_repeats
 from tallyloom.llm.tables import table
 from tallyloom.llm.tiling import benchmark_leaks
+from tallyloom.llm.token_files import token_digests
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -26,6 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +77,10 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(table(spark, folder, "documents", "doc_id", "text"), BYTE_VOCABULARY, END_ID)
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_quote_links": op2_quote_links,
@@ -85,4 +92,5 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
     "op10_fingerprints": op10_fingerprints,
+    "op13_token_files": op13_token_files,
 }

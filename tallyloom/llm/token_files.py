@@ -49,7 +49,7 @@ from tallyloom.llm.simple8b import BLOCK, Packed, pack, unpack
 from tallyloom.llm.tables import partitions, text_or_empty
 from tallyloom.session import scratch_path
 
-#: Ids that are coded or decoded at one time.
+#: Ids that are coded or decoded at one time, a multiple of the block.
 CHUNK = 1 << 20
 #: Rows that are Python objects at one time.
 ROWS = 256
