@@ -50,53 +50,62 @@ def pack(values: np.ndarray, block: int = BLOCK, first_escape: int = 0) -> Packe
     size[-1] = len(values) - (blocks - 1) * block
 
     selectors = _selectors(grid, block)
-    starts, chosen, at = [], [], np.zeros(blocks, np.int64)
+    steps, at = [], np.zeros(blocks, np.int64)
     rows = np.arange(blocks)
     while len(rows):
         now = selectors[rows, at[rows]]
-        starts.append(rows * grid.shape[1] + at[rows])
-        chosen.append(now)
+        steps.append((rows, at[rows], now))
         at[rows] += COUNTS[now]
         rows = rows[at[rows] < size[rows]]
+    row, column, selector = (np.concatenate(part) for part in zip(*steps))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=blocks))))
+    # The k-th step took the k-th word of each block that was not done.
+    place = offsets[row] + np.repeat(np.arange(len(steps)), [len(rows) for rows, _, _ in steps])
 
-    start, selector = np.concatenate(starts), np.concatenate(chosen)
-    order = np.argsort(start)
-    start, selector = start[order], selector[order]
-    words = selector.astype(np.uint64) << _SELECTOR
+    start = row * grid.shape[1] + column
     cells = grid.ravel()
+    words = np.empty(len(place), np.uint64)
+    escapes = np.zeros(0, np.uint64)
     for kind in np.unique(selector):
         of_kind = np.flatnonzero(selector == kind)
+        held = np.full(len(of_kind), int(kind) << 60, np.uint64)
         if kind == ESCAPE:
-            words[of_kind] |= np.arange(first_escape, first_escape + len(of_kind), dtype=np.uint64)
+            of_kind = of_kind[np.argsort(place[of_kind])]
+            escapes = cells[start[of_kind]]
+            held |= np.arange(first_escape, first_escape + len(of_kind), dtype=np.uint64)
         elif kind != ZEROS:
-            held = np.zeros(len(of_kind), np.uint64)
-            for place in range(COUNTS[kind]):
-                held |= cells[start[of_kind] + place] << np.uint64(place * WIDTHS[kind])
-            words[of_kind] |= held
-    per_block = np.bincount(start // grid.shape[1], minlength=blocks)
-    offsets = np.concatenate(([0], np.cumsum(per_block))).astype(np.uint64)
-    return Packed(words, offsets, cells[start[selector == ESCAPE]])
+            for next_ in range(COUNTS[kind]):
+                held |= cells[start[of_kind] + next_] << np.uint64(next_ * WIDTHS[kind])
+        words[place[of_kind]] = held
+    return Packed(words, offsets.astype(np.uint64), escapes)
 
 
 def _selectors(grid: np.ndarray, block: int) -> np.ndarray:
     """For each place, the selector that takes most numbers from there on; beyond a block's end are zeros."""
-    place = np.arange(block, dtype=np.int16 if block < 1 << 14 else np.int32)
-    bits = _bit_lengths(grid[:, :block])
-    out = np.full(bits.shape, ESCAPE, np.int8)
-    taken = np.zeros(bits.shape, place.dtype)
-    for kind in (*range(ZEROS), ZEROS):
-        # Wider than all numbers need, a kind only takes fewer of them.
-        if 0 < kind < ZEROS and WIDTHS[kind - 1] >= bits.max():
-            continue
-        stop = np.where(bits <= WIDTHS[kind], place.dtype.type(block + _LONGEST), place)
-        stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-        better = (stop - place >= COUNTS[kind]) & (COUNTS[kind] > taken)
-        np.copyto(out, np.int8(kind), where=better)
-        np.copyto(taken, place.dtype.type(COUNTS[kind]), where=better)
+    bits = _bit_lengths(grid)
+    out = np.full((len(grid), block), ESCAPE, np.int8)
+    for kind in sorted(range(ESCAPE), key=COUNTS.__getitem__):
+        fits = _all_of_next(bits <= WIDTHS[kind], int(COUNTS[kind]))
+        np.copyto(out, np.int8(kind), where=fits[:, :block])
     return out
 
 
+def _all_of_next(holds: np.ndarray, count: int) -> np.ndarray:
+    """Where ``holds`` is true ``count`` times in a row, from each place on; windows are doubled."""
+    have = 1
+    while have < count:
+        step = min(have, count - have)
+        holds = holds[:, :-step] & holds[:, step:]
+        have += step
+    return holds
+
+
+_OF_16_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bit_lengths(numbers: np.ndarray) -> np.ndarray:
+    if not (numbers >> np.uint64(16)).any():
+        return _OF_16_BITS[numbers]
     exact = np.frexp(numbers.astype(np.float64))[1].astype(np.uint8)
     large = numbers >> np.uint64(53) != 0  # a double may round these up
     exact[large] = np.frexp((numbers[large] >> np.uint64(11)).astype(np.float64))[1] + 11

@@ -23,6 +23,7 @@ other characters: no token spans such a place.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -53,13 +54,19 @@ from tallyloom.session import scratch_path
 CHUNK = 1 << 20
 #: Rows that are Python objects at one time.
 ROWS = 256
-#: Characters of a long text that are encoded at one time, and pieces a worker remembers.
+#: Characters of a long text that are encoded at one time, and parts (of so many characters) a worker remembers.
 WINDOW, REMEMBERED, LONGEST_REMEMBERED = 1 << 20, 1 << 20, 32
 
 _MANIFEST = "manifest.json"
 _MAGIC = b"TLS8IDS1"
 _TRAILER = struct.Struct("<QQQQ8s")  # ids, words, escapes, documents
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Where a byte-level tokenizer cuts texts of ASCII and of the letters U+00C0 to U+024F.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]*")
+_PARTS = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \t-\r0-9{_LETTERS}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+)
 
 IDS_SCHEMA = "doc_id long, start long, ids binary"
 
@@ -67,46 +74,73 @@ IDS_SCHEMA = "doc_id long, start long, ids binary"
 # Encoding
 
 
-class PieceEncoder:
-    """The tokenizer's ids of a text, through a bounded memory of the pieces between safe cuts.
+class PieceEncoder(dict):
+    """The tokenizer's ids of a text, through a bounded memory of its parts.
 
-    A byte-level tokenizer starts a token at a single space between two other characters,
-    whatever stands before or after, so a text's ids are those of its pieces in a row.
+    A byte-level tokenizer cuts a text by a pattern before it merges. Where all characters
+    are plain ones, the same cuts are made here and the library's model merges each part
+    that is new. Other texts are cut at single spaces between two other characters, where a
+    token starts whatever stands before or after; what is not plain then goes through the
+    whole tokenizer. A tokenizer of another kind gets every text whole.
     """
 
     def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        cuts = parts["pre_tokenizer"] or {}
+        self.byte_level = (
+            parts["normalizer"] is None
+            and cuts.get("type") == "ByteLevel"
+            and cuts.get("use_regex", False)
+            and not cuts.get("add_prefix_space", True)
+            and parts["model"]["type"] == "BPE"
+            and parts["model"].get("dropout") is None
+        )
+        self.model = self.tokenizer.model
+        self.special = [token["content"] for token in parts["added_tokens"]]
+        self.byte_level &= not any(re.search(r"\s", token) for token in self.special)
+        self.bytes_as_text = {i: c for i, c in enumerate(_byte_letters())}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        return b"".join(self._pieces(window) for window in _windows(text))
-
-    def _pieces(self, text: str) -> bytes:
-        if not text:
-            return b""
-        # The first piece has no space before it, or one that belongs to it.
-        first, *rest = _SAFE_CUT.split(text)
-        head = self._ids([first])[0]
-        try:
-            return head + b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            return head + self._learn(rest)
-
-    def _learn(self, pieces: list[str]) -> bytes:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        ids = dict(zip(new, self._ids([" " + p for p in new])))
-        out = b"".join(ids[p] if p in ids else self.known[p] for p in pieces)
-        if len(self.known) + len(ids) > REMEMBERED:
-            self.known.clear()
-        self.known.update((p, i) for p, i in ids.items() if len(p) <= LONGEST_REMEMBERED)
-        return out
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        if not self.byte_level:
+            return self._whole(text)
+        return b"".join(map(self._window, _windows(text)))
+
+    def _window(self, text: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        if self._is_plain(text):
+            return b"".join(map(self.__getitem__, _PARTS.findall(text)))
+        pieces = _SAFE_CUT.split(text)
+        return b"".join(
+            b"".join(map(self.__getitem__, _PARTS.findall(p))) if self._is_plain(p) else self._whole(p) for p in pieces
+        )
+
+    def _is_plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(token in text for token in self.special)
+
+    def __missing__(self, part: str) -> bytes:
+        letters = part.encode().decode("latin-1").translate(self.bytes_as_text)
+        ids = np.array([token.id for token in self.model.tokenize(letters)], "<u4").tobytes()
+        if len(part) <= LONGEST_REMEMBERED:
+            self[part] = ids
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _byte_letters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: itself where it is visible."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [i for i in range(256) if i not in visible]
+    return [chr(i) if i in visible else chr(256 + hidden.index(i)) for i in range(256)]
 
 
 def _windows(text: str) -> Iterator[str]:
