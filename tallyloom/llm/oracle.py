@@ -76,7 +76,48 @@ SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, d
 FROM sets LEFT JOIN least_reached ON a = doc_id
 """
 
+# Six rounds of means, then one more assignment; eight parts, sixteen entries.
+_KEPT = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (
+  SELECT vec_id, label, (i - 1) // (len(v) // 8) AS part, (i - 1) % (len(v) // 8) AS place, v[i] AS x
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 16),
+book0 AS MATERIALIZED (SELECT part, entry, place, x FROM cells JOIN firsts USING (vec_id))"""
+_ASSIGN = """,
+near{k} AS MATERIALIZED (
+  SELECT vec_id, label, part, min({{'d': d, 'entry': entry}}) AS best
+  FROM (SELECT c.vec_id, c.label, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d
+        FROM cells c JOIN book{k} b ON c.part = b.part AND c.place = b.place
+        GROUP BY c.vec_id, c.label, c.part, b.entry)
+  GROUP BY vec_id, label, part)"""
+_MEANS = """,
+book{next} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.x) AS x
+  FROM book{k} b LEFT JOIN (
+    SELECT c.part, near.best.entry AS entry, c.place, CAST(sum(c.x) AS BIGINT) AS s, count(*) AS n
+    FROM cells c JOIN near{k} near ON c.vec_id = near.vec_id AND c.part = near.part
+    GROUP BY c.part, near.best.entry, c.place) m
+  ON m.part = b.part AND m.entry = b.entry AND m.place = b.place)"""
+_CODES = """,
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near6 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM book6) AS codebooks_sha256
+FROM coded"""
+_VECTOR_CODES = (
+    _KEPT
+    + "".join(_ASSIGN.format(k=k) + _MEANS.format(k=k, next=k + 1) for k in range(6))
+    + _ASSIGN.format(k=6)
+    + _CODES
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": _SECRETS,
     "op8_ngram_join": _NGRAM_JOIN,
+    "op12_vector_codes": _VECTOR_CODES,
 }

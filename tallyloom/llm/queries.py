@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.bpe import encode_documents
 from tallyloom.llm.chaining import repeated_passages
+from tallyloom.llm.cover_lloyd import vector_codes
 from tallyloom.llm.fingerprints import fingerprint_with_edits
 from tallyloom.llm.html_extract import fit_pages, page_texts
 from tallyloom.llm.ngram_join import JaccardRule, linked_sets
@@ -77,6 +78,11 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    return vector_codes(vectors.withColumnRenamed("embedding", "vector"))
+
+
 def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(table(spark, folder, "documents", "doc_id", "text"), BYTE_VOCABULARY, END_ID)
 
@@ -92,5 +98,6 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
     "op10_fingerprints": op10_fingerprints,
+    "op12_vector_codes": op12_vector_codes,
     "op13_token_files": op13_token_files,
 }
