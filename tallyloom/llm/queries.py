@@ -16,6 +16,7 @@ from tallyloom.llm.ngram_join import JaccardRule, linked_sets
 from tallyloom.llm.oracle import ORACLE_SQL
 from tallyloom.llm.quality import quality_scores
 from tallyloom.llm.quotes import chat_texts
+from tallyloom.llm.repair import repair_digests
 from tallyloom.llm.secret_scan import secret_digest
 from tallyloom.llm.suffix_dedup import without_repeats
 from tallyloom.llm.tables import table
@@ -78,6 +79,10 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_digests(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
     return vector_codes(vectors.withColumnRenamed("embedding", "vector"))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
     "op10_fingerprints": op10_fingerprints,
+    "op11_repair": op11_repair,
     "op12_vector_codes": op12_vector_codes,
     "op13_token_files": op13_token_files,
 }

@@ -1,0 +1,213 @@
+"""Conversation repair against a plain search over whole conversations."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import sys
+import zlib
+from functools import lru_cache
+
+import pytest
+
+from tallyloom.llm import repair as R
+from tallyloom.llm.queries import op11_repair
+from tallyloom.llm.repair import Search, Step, repair, repair_conversations, repair_digests
+
+sys.setrecursionlimit(20_000)  # the plain version goes a row deeper at each step
+
+SCHEMA = "conv_id long, turn long, role string, text string, piece long, cost string"
+
+
+def plain_damage(rows):
+    """(conv_id, turn, role, text) after the contract's damage."""
+    shown = lambda v: " " if v is None else str(v)
+    for conv_id, turn, role, text in rows:
+        kind = zlib.crc32(f"{shown(conv_id)}:{shown(turn)}".encode()) % 20
+        role, text = shown(role), shown(text)
+        if kind == 0:
+            continue
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        if kind == 4:
+            role = "user"
+        for _ in range(2 if kind == 3 else 1):
+            yield conv_id, turn, role, text
+
+
+def plain_edits(initials, faults):
+    """(cost, letters) by trying every edit from the end on; two inserts in a row change nothing but the cost."""
+    n = len(initials)
+
+    @lru_cache(None)
+    def best(at, roles, inserts):
+        options = []
+        if roles == "x":
+            return 1 << 50, ""
+        if at == n and re.fullmatch("(s?(ua)+)?", roles):
+            options.append((0, ""))
+        if inserts < 2:
+            options += [(3 + c, "I" + a) for r in "ua" for c, a in [best(at, tail(roles + r), inserts + 1)] if c < 1 << 40]
+        if at < n:
+            c, a = best(at + 1, roles, 0)
+            options.append((4 + c, "D" + a))
+            if faults[at] not in ("blank", "duplicate"):
+                extra = 3 if faults[at] == "truncated" else 0
+                for letter, role, cost in [("K", initials[at], 0), ("R", "u", 3), ("R", "a", 3)]:
+                    if role:
+                        c, a = best(at + 1, tail(roles + role), 0)
+                        options.append((cost + extra + c, letter + a))
+        return min(options, default=(1 << 50, ""))
+
+    def tail(roles):
+        """Roles so far, with finished pairs left out."""
+        if not re.fullmatch("s?(ua)*u?", roles):
+            return "x"
+        kept = re.sub("(ua)+", "ua", roles[1:] if roles[0] == "s" else roles)
+        return ("s" if roles[0] == "s" else "") + kept
+
+    return best(0, "", 0)
+
+
+def plain(rows):
+    """The contract, conversation by conversation."""
+    out = {r[0]: [] for r in rows}
+    for row in plain_damage(rows):
+        out[row[0]].append(row[1:])
+    for conv_id, turns in out.items():
+        turns.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        seen, faults = set(), []
+        for _, role, text in turns:
+            solid = re.findall(r"[^\x20\x09-\x0D]", text)
+            faults.append(
+                "blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else ""
+            )
+            seen.add((role, text))
+        initials = [r[:1] for _, r, _ in turns]
+        cost, letters = plain_edits(tuple(initials), tuple(faults))
+        left, lines = list(turns), []
+        for k, letter in enumerate(letters):
+            users = sum(line[0] == "u" for line in lines)
+            role = "assistant" if users > sum(line[0] == "a" for line in lines) else "user"
+            if letter == "I":
+                lines.append(f"{role}:")
+                continue
+            _, own, text = left.pop(0)
+            if letter == "K":
+                lines.append(f"{own}:{text}")
+            if letter == "R":
+                lines.append(f"{role}:{text}")
+        known = [t for t, _, _ in turns if t is not None]
+        out[conv_id] = (
+            conv_id,
+            max(known) - min(known) + 1 - len(set(known)) if known else 0,
+            *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+            sum(a + b not in ("su", "ua", "au") for a, b in itertools.pairwise(initials)),
+            cost,
+            letters,
+            hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+        )
+    return sorted(out.values(), key=str)
+
+
+def found(df):
+    assert df.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def table(spark, rows, parts=3):
+    return spark.createDataFrame([(*r, 7, "x") for r in rows], SCHEMA).repartition(parts)
+
+
+def random_rows(rng, conversations, longest, first=0):
+    out = []
+    for conv_id in range(first, first + conversations):
+        for turn in range(rng.randrange(1, longest)):
+            role = rng.choice(["system", "user", "assistant", "user", "assistant", "tool", None, ""])
+            text = rng.choice(["Yes.", "No", "", "  ", None, "Why?", f"row {turn}.", "ends \t\n", "done!\x0b "])
+            out.append((conv_id, rng.choice([turn, turn, turn, turn * 3, None]), role, text))
+    return out
+
+
+def test_search_equals_all_edits():
+    rng = random.Random(4)
+    names = ["", "blank", "duplicate", "truncated"]
+    for _ in range(1500):
+        steps = tuple(Step(rng.choice("suat"), rng.choice([0, 0, 0, 1, 2, 3])) for _ in range(rng.randrange(9)))
+        assert repair(steps) == plain_edits(tuple(s.initial for s in steps), tuple(names[s.fault] for s in steps))
+
+
+def test_stretches_from_each_state_to_each():
+    """Any cut of a conversation leads to the same edits as the whole."""
+    rng = random.Random(9)
+    for _ in range(150):
+        steps = tuple(Step(rng.choice("suat"), rng.choice([0, 0, 1, 2, 3]), rng.choice([0, 0, 2])) for _ in range(rng.randrange(2, 9)))
+        cut = rng.randrange(1, len(steps))
+        first = [Search(steps[:cut], g).run(R.START) for g in range(4)]
+        ends = [0, 6, 3, 0]
+        options = []
+        for g, one in enumerate(first):
+            for h in range(4):
+                two = Search(steps[cut:], h).run(g)
+                if one and two:
+                    options.append((one[0] + two[0] + ends[h], one[1] + two[1] + "I" * (ends[h] // 3)))
+        assert min(options) == repair(steps)
+
+
+def test_failed_states_keep_the_search_short():
+    steps = tuple(Step("u" if k % 5 else "t", k % 7 == 0 and R.TRUNCATED or R.FINE) for k in range(400))
+    search = Search(steps, None)
+    cost, letters = search.run(R.START)
+    assert len(search.failed) <= 4 * 401 and len([x for x in letters if x != "I"]) == 400 and cost > 300
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_equals_the_plain_version(spark, parts):
+    rows = random_rows(random.Random(parts), 120, 12)
+    assert found(repair_digests(table(spark, rows, parts))) == plain(rows)
+
+
+def test_long_conversations_in_several_stretches(spark):
+    rng = random.Random(3)
+    rows = random_rows(rng, 40, 6) + [
+        (conv_id, turn, rng.choice(["user", "assistant", "tool"]), f"row {rng.randrange(200)}" + rng.choice([".", "", "!"]))
+        for conv_id, n in ((500, 400), (None, 150))
+        for turn in range(n)
+    ]
+    expected = plain(rows)
+    assert found(repair_digests(table(spark, rows))) == expected
+    assert found(repair_conversations(R.damaged(table(spark, rows)), most_rows=3)) == expected
+    assert found(repair_conversations(R.damaged(table(spark, rows)), most_characters=9)) == expected
+
+
+def test_nulls_ties_repeats_and_long_texts(spark):
+    rows = [
+        (None, None, None, None),
+        (None, 3, "user", "Hi."),
+        (1, 2, "user", "b."),
+        (1, 2, "user", "a."),
+        (1, 2, "assistant", "c."),
+        (2, 5, "user", "x" * 3_000_000 + "."),
+        (2, 6, "assistant", " " * 1_000_000),
+        (-3, 9, "", "No role."),
+        *[(4, 1, "user", "Same.")] * 300,
+        *[(5, turn, "assistant", "Same.") for turn in range(200)],
+    ]
+    assert found(repair_digests(table(spark, rows))) == plain(rows)
+
+
+def test_empty_table_and_dropped_conversations(spark):
+    assert found(repair_digests(table(spark, []))) == []
+    empty = hashlib.sha256(b"").hexdigest()
+    gone = spark.createDataFrame([(8, 1, "user", "Hi.", 0)], "conv_id long, turn long, role string, text string, copies long")
+    assert found(repair_conversations(gone)) == [(8, 0, 0, 0, 0, 0, 0, "", empty)]
+
+
+def test_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert found(op11_repair(spark, folder)) == plain(rows)
