@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.exact import micros, percent
 from tallyloom.functions.ranking import slice_bounds, slice_number
 from tallyloom.model import CANCELLED, COMPLETED, RETURNED
+from tallyloom.operators.distinct_sketches import distinct_count
 
 
 def stage_rows(totals: DataFrame, stages: Sequence[tuple[str, str]], extra: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -40,15 +41,19 @@ def stage_rows(totals: DataFrame, stages: Sequence[tuple[str, str]], extra: dict
     return totals.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
 
 
-def fulfillment_funnel(orders: DataFrame) -> DataFrame:
-    """Orders placed, paid, delivered and kept, from order status."""
+def fulfillment_funnel(orders: DataFrame, sketch_lg_k: int | None = None) -> DataFrame:
+    """Orders placed, paid, delivered and kept, from order status.
+
+    Placed orders are counted by their distinct ids; with ``sketch_lg_k`` that is
+    an estimate (``distinct_sketches``), and no id is shuffled.
+    """
 
     def reached(condition: Column) -> Column:
         return F.sum(F.when(condition, 1).otherwise(0))
 
     status = F.col("order_status")
     totals = orders.agg(
-        F.countDistinct("order_id").alias("placed"),
+        distinct_count("order_id", sketch_lg_k).alias("placed"),
         reached(status != CANCELLED).alias("paid"),
         reached(status.isin(COMPLETED, RETURNED)).alias("delivered"),
         reached(status == COMPLETED).alias("kept"),

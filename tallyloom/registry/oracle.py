@@ -535,6 +535,22 @@ ORACLE_SQL: dict[str, str] = {
                    (SELECT COUNT(*) FROM fx_products) AS total_products,
                    (SELECT COUNT(*) FROM fx_sellers) AS total_sellers""",
     ),
+    "kpi_summary_sketched": _sql(
+        "fx_customers fx_orders",
+        """SELECT (SELECT COUNT(DISTINCT customer_id) FROM fx_customers) AS total_customers,
+                  COUNT(DISTINCT customer_id) AS customers_with_orders, COUNT(*) AS total_orders,
+                  TRUE AS total_customers_near, TRUE AS customers_with_orders_near
+           FROM fx_orders""",
+    ),
+    "quarterly_customers_sketched": _sql(
+        "fx_orders",
+        """SELECT CAST(date_trunc('quarter', order_date) AS DATE) AS first_month, COUNT(DISTINCT customer_id) AS customers,
+                  COUNT(DISTINCT order_id) AS orders, TRUE AS customers_near, TRUE AS orders_near
+           FROM fx_orders WHERE order_date IS NOT NULL GROUP BY 1""",
+    ),
+    "fulfillment_funnel_sketched": _sql(
+        "stages", f"SELECT stage, stage_order, orders, TRUE AS near FROM ({_FULFILMENT})"
+    ),
     "order_count_distribution": _sql(
         "fx_orders",
         f"""SELECT COUNT(*) AS ordering_customers, MIN(n) AS min_orders, MAX(n) AS max_orders,

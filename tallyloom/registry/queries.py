@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import customers as c
+from tallyloom.operators import distinct_sketches as d
 from tallyloom.operators import experiment as e
 from tallyloom.operators import funnel as f
 from tallyloom.operators import products as p
@@ -107,6 +108,47 @@ def _readout(t: StarTables) -> DataFrame:
     return row.withColumn("p_value", F.round("p_value", 10))
 
 
+def _kpi_sketched(t: StarTables) -> DataFrame:
+    """Exact headline counts of customers, and whether the sketched ones lie within the error bound."""
+    tables = (t.customers, t.orders_without_seller, t.items, t.products, t.sellers)
+    sketched = s.kpi_summary(*tables, sketch_lg_k=d.LG_K)
+    exact = s.kpi_summary(*tables).select("total_customers", "customers_with_orders", "total_orders")
+    return exact.withColumns(
+        {
+            f"{c}_near": F.abs(sketched.select(c).scalar() - F.col(c)) <= d.error_bound(F.col(c))
+            for c in ("total_customers", "customers_with_orders")
+        }
+    )
+
+
+def _funnel_sketched(t: StarTables) -> DataFrame:
+    """The exact funnel, and whether each sketched stage and drop-off lies within the error bound."""
+    orders = t.orders_without_seller
+    sketched = f.fulfillment_funnel(orders, d.LG_K).select("stage", F.col("orders").alias("sketched"))
+    near = F.abs(F.col("sketched") - F.col("orders")) <= d.error_bound(F.col("orders"))
+    return f.fulfillment_funnel(orders).join(sketched, "stage").select("stage", "stage_order", "orders", near.alias("near"))
+
+
+def _quarterly_sketched(t: StarTables) -> DataFrame:
+    """Customers and orders per quarter, and whether what monthly sketches merge to is near.
+
+    The sketches are stored in two goes, the second with orders that the first had too.
+    """
+    columns = ("customer_id", "order_id")
+    orders = t.orders_without_seller
+    store = d.SketchStore(t.spark, _shared_path(t.spark), columns)
+    store.add(orders.filter(F.col("order_id") % 3 != 0), "order_date")
+    store.add(orders.filter(F.col("order_id") % 2 == 0), "order_date")
+    store.add(orders.filter(F.col("order_id") % 3 == 0), "order_date")
+    exact = orders.groupBy(F.to_date(F.date_trunc("quarter", "order_date")).alias("first_month")).agg(
+        F.countDistinct("customer_id").alias("customers"), F.countDistinct("order_id").alias("orders")
+    )
+    near = lambda a, b: (F.abs(F.col(a) - F.col(b)) <= d.error_bound(F.col(b))).alias(f"{b}_near")
+    return exact.join(store.per_months(3), "first_month").select(
+        "first_month", "customers", "orders", near("customer_id", "customers"), near("order_id", "orders")
+    )
+
+
 _ON_TABLES: dict[str, Callable[[StarTables], DataFrame]] = {
     # sales, products, customers, sellers, shipping
     "top_products": lambda t: p.top_products(t.orders_without_seller, t.items, t.products),
@@ -139,6 +181,9 @@ _ON_TABLES: dict[str, Callable[[StarTables], DataFrame]] = {
     "provider_performance": lambda t: s.provider_performance(t.shippings, t.orders_without_seller, t.items),
     "yoy_decline": lambda t: p.yoy_decline(t.orders_without_seller, t.items, t.products, 1999, 2000),
     "kpi_summary": lambda t: s.kpi_summary(t.customers, t.orders_without_seller, t.items, t.products, t.sellers),
+    "kpi_summary_sketched": _kpi_sketched,
+    "quarterly_customers_sketched": _quarterly_sketched,
+    "fulfillment_funnel_sketched": _funnel_sketched,
     "order_count_distribution": lambda t: c.order_count_distribution(t.orders_without_seller),
     "state_revenue": lambda t: c.state_revenue(t.orders_without_seller, t.items, t.customers),
     "never_ordered_share": lambda t: c.never_ordered_share(t.customers, t.orders_without_seller),
