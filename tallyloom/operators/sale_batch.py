@@ -5,15 +5,16 @@ row of its product still holds the quantity; then every inventory row of the
 product loses it. A request that is turned down takes nothing, so a running
 sum cannot decide: the outcome needs a pass in turn per product.
 
-* Products whose whole demand fits need no pass.
-* While stock only falls, an accepted request implies that every earlier one
-  of the same size was accepted too. So among requests of size ``q`` in one
-  stretch of time, only the first ``stock / q`` can succeed.
+* Requests are folded per product first. Products whose whole demand fits, or that
+  have no stock or price, need no pass: their requests share one outcome.
 * A product with at most ``MOST_IN_TURN`` requests is passed in one task, which
   streams over sorted rows and keeps one number per product.
-* A product with more is cut at slices of ``seq``. Each slice works out, beside
-  the others, the stock it leaves for any stock it may find; one number per
-  slice is then handed on in turn; with it each slice decides its requests.
+* A product with more is sorted by all tasks together and cut into slices of at
+  most ``SLICE_ROWS`` requests, as many as it needs. Running sums say what a slice
+  finds if nothing was refused before it. For that stock, and for all the small
+  ones that a refusal can leave, a slice works out what it does to them
+  (``functions/stock.py``); these effects are composed in a balanced tree
+  (``functions/scan.py``), which tells every slice the stock it really finds.
 
 Lookups are made distinct first: a customer, seller, order or item listed twice
 is one, of a product listed twice the lowest price counts.
@@ -21,20 +22,21 @@ is one, of a product listed twice the lowest price counts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.joins import spread_lookup
-from tallyloom.functions.ranking import slice_bounds, slice_number
+from tallyloom.functions.scan import exclusive_scan, numbered_runs
+from tallyloom.functions.stock import act_packed, compose_packed, effect_of, sold
 from tallyloom.model import IN_PROGRESS, MONEY
 from tallyloom.session import cut_lineage
 
@@ -42,6 +44,8 @@ ACCEPTED, NO_STOCK = "accepted", "not_enough_stock"
 
 #: Contested requests of one product that one task decides in turn.
 MOST_IN_TURN = 20_000
+#: Requests of one slice of a product that has more.
+SLICE_ROWS = 4_096
 
 _REQUEST = ["seq", "order_id", "order_item_id", "customer_id", "seller_id", "product_id", "quantity"]
 
@@ -67,6 +71,7 @@ def apply_sales(
     items: DataFrame | None = None,
     strict: bool = False,
     most_in_turn: int = MOST_IN_TURN,
+    slice_rows: int = SLICE_ROWS,
 ) -> SaleBatch:
     """Decide every request and derive the rows to write.
 
@@ -79,9 +84,8 @@ def apply_sales(
     """
     taken = {"order_id": orders} | ({} if items is None else {"order_item_id": items})
     requests = requests.select(*_REQUEST)
-    turn_slice = slice_number(slice_bounds(requests, "seq"), F.col("seq"))
-    screened = cut_lineage(_screen(requests, taken, customers, sellers, strict).withColumn("slice", turn_slice))
-    decided = cut_lineage(_decide(screened, products, inventory, most_in_turn))
+    screened = cut_lineage(_screen(requests, taken, customers, sellers, strict))
+    decided = cut_lineage(_decide(screened, products, inventory, most_in_turn, slice_rows))
     accepted = decided.filter(F.col("outcome") == ACCEPTED)
 
     used = accepted.groupBy("product_id").agg(F.sum("quantity").alias("used"))
@@ -131,154 +135,160 @@ def _screen(
     return df.select(*_REQUEST, error.alias("error"))
 
 
-def _decide(screened: DataFrame, products: DataFrame, inventory: DataFrame, most_in_turn: int) -> DataFrame:
-    """Adds ``price`` and ``outcome`` to screened, sliced requests."""
-    competing = F.col("error").isNull()
+def _decide(
+    screened: DataFrame, products: DataFrame, inventory: DataFrame, most_in_turn: int, slice_rows: int
+) -> DataFrame:
+    """Adds ``price`` and ``outcome`` to screened requests."""
+    kept = [*_REQUEST, "price", "outcome"]
     quantity = F.col("quantity")
+    can_sell = F.col("error").isNull() & F.col("product_id").isNotNull() & quantity.isNotNull()
+    settled = screened.filter(~can_sell).select(
+        *_REQUEST, F.lit(None).cast(MONEY).alias("price"), F.coalesce("error", F.lit(NO_STOCK)).alias("outcome")
+    )
+    open_ = screened.filter(can_sell).select(*_REQUEST)
 
-    # One row per (product, slice): stock, price and the product's whole demand.
-    whole = W.partitionBy("product_id")
     stock = inventory.groupBy("product_id").agg(F.max("stock").alias("available"))
     prices = products.groupBy("product_id").agg(F.min("price").alias("price")).withColumn("listed", F.lit(True))
-    offers = (
-        screened.filter(competing)
-        .groupBy("product_id", "slice")
-        .agg(
-            F.sum(F.greatest(quantity, F.lit(0))).alias("wanted"),
-            F.sum(-F.least(quantity, F.lit(0))).alias("restocked"),
-            F.count(F.lit(1)).alias("requests"),
-        )
-        .withColumn("many", F.sum("requests").over(whole) > most_in_turn)
-        .withColumn("wanted", F.sum("wanted").over(whole))
-        .withColumn("restocked", F.sum("restocked").over(whole))
-        .join(stock, "product_id")
+    available = F.col("available")
+    fate = (
+        F.when(available.isNull(), F.lit(NO_STOCK))
+        .when(F.col("listed").isNull(), F.lit("unknown_product"))
+        .when((available >= 0) & (F.col("wanted") <= available), F.lit(ACCEPTED))
+    )
+    offers = cut_lineage(
+        open_.groupBy("product_id")
+        .agg(F.sum(F.greatest(quantity, F.lit(0))).alias("wanted"), F.count(F.lit(1)).alias("requests"))
+        .join(stock, "product_id", "left")
         .join(prices, "product_id", "left")
-        .withColumn("reach", F.col("available") + F.coalesce("restocked", F.lit(0)))
-        .withColumn("all_fit", (F.col("available") >= 0) & (F.coalesce("wanted", F.lit(0)) <= F.col("available")))
-        .drop("wanted", "restocked", "requests")
+        .select("product_id", "available", "price", fate.alias("outcome"), (F.col("requests") > most_in_turn).alias("many"))
+    )
+    if offers.filter("many").isEmpty():
+        return settled.unionByName(_in_turn(open_.join(offers, "product_id")).select(*kept))
+    slot = F.pmod(F.xxhash64("seq"), F.lit(64))
+    offered = spread_lookup(open_, offers, "product_id", slot)
+    undecided = offered.filter(F.col("outcome").isNull())
+    hot = undecided.filter("many").select(*kept, "available")
+    return (
+        settled.unionByName(offered.filter(F.col("outcome").isNotNull()).select(*kept))
+        .unionByName(_in_turn(undecided.filter(~F.col("many"))).select(*kept))
+        .unionByName(_decide_by_slices(hot, slice_rows).select(*kept))
     )
-    offered = screened.join(offers, ["product_id", "slice"], "left")
-
-    # Stock falls throughout a stretch: it ends at a slice or at a negative quantity.
-    in_slice = W.partitionBy("product_id", "slice")
-    stretch = F.sum(F.when(competing & (quantity < 0), 1).otherwise(0)).over(in_slice.orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    same_size = W.partitionBy("product_id", "slice", "stretch", "quantity", "error").orderBy("seq")
-    ruled = (
-        offered.withColumn("stretch", stretch)
-        .withColumn("place", F.row_number().over(same_size))
-        .withColumn(
-            "outcome",
-            F.when(~competing, F.col("error"))
-            .when(quantity.isNull() | F.col("available").isNull(), F.lit(NO_STOCK))
-            .when(F.col("listed").isNull(), F.lit("unknown_product"))
-            .when(F.col("all_fit"), F.lit(ACCEPTED))
-            .when((quantity > 0) & (quantity.cast("long") * F.col("place") > F.col("reach")), F.lit(NO_STOCK)),
+
+
+def _in_turn(offered: DataFrame) -> DataFrame:
+    """Decides the requests without an outcome, each product in one task."""
+    # The window asks for a product's rows together and in turn; the join may have dealt them so already.
+    turn = F.row_number().over(W.partitionBy("product_id").orderBy("seq"))
+    rows = offered.select(*_REQUEST, "price", "outcome", "available", turn.alias("turn"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("sold", T.BooleanType())])
+    sold_ = F.when(F.col("sold"), ACCEPTED).otherwise(NO_STOCK)
+    return rows.mapInArrow(_selling_in_turn(), schema).withColumn("outcome", F.coalesce("outcome", sold_))
+
+
+def _decide_by_slices(requests: DataFrame, slice_rows: int) -> DataFrame:
+    """Decides requests of products that have very many; no group has more than ``slice_rows`` of them."""
+    ordered = requests.repartitionByRange("product_id", "seq").sortWithinPartitions("product_id", "seq")
+    columns = requests.drop("available").schema
+    cells = f"array<{columns.simpleString()}>"
+    slices = numbered_runs(
+        cut_lineage(
+            ordered.mapInArrow(
+                _cut(columns.names, slice_rows),
+                f"key long, part int, k long, available long, taken long, added long, largest long, requests {cells}",
+            )
         )
     )
-    kept = [*_REQUEST, "price", "outcome"]
-    settled = ruled.filter(F.col("outcome").isNotNull()).select(*kept)
-    undecided = ruled.filter(F.col("outcome").isNull())
-    open_ = undecided.filter(~F.col("many")).select(*kept, "available")
-    passed = (
-        open_.repartition("product_id")
-        .sortWithinPartitions("product_id", "seq")
-        .mapInArrow(_selling_in_turn(), T.StructType(open_.schema.fields + [T.StructField("sold", T.BooleanType())]))
-        .withColumn("outcome", F.when(F.col("sold"), ACCEPTED).otherwise(NO_STOCK))
+    small = cut_lineage(slices.drop("requests"))
+    products = small.groupBy("key").agg(
+        F.first("available").alias("state"), F.sum("added").alias("added"), F.max("largest").alias("largest")
     )
-    sliced = undecided.filter("many").select(*kept, "available", "slice")
-    return settled.unionByName(passed.select(*kept)).unionByName(_decide_by_slices(sliced).select(*kept))
-
-
-def _decide_by_slices(requests: DataFrame) -> DataFrame:
-    """Decides requests of products that have very many, a slice of turns at a time."""
-    by_slice = requests.groupBy("product_id", "slice")
-    effects = by_slice.applyInPandas(_slice_effect(), "product_id long, slice long, available long, effect binary")
-    found = (
-        effects.repartition("product_id")
-        .sortWithinPartitions("product_id", "slice")
-        .mapInArrow(_handed_on(), "product_id long, slice long, found long")
+    # No stock that a refusal leaves, with all that is added, reaches the limit.
+    limits = products.select(
+        "key", (F.least("largest", F.greatest("state", F.lit(0))) + F.col("added") + 1).alias("limit")
     )
-    schema = T.StructType([*requests.schema.fields, T.StructField("found", T.LongType()), T.StructField("sold", T.BooleanType())])
+    running = small.select("key", "place", F.encode(F.col("taken").cast("string"), "UTF-8").alias("effect"))
+    tracks = exclusive_scan(running, products, _sum_of, _taken_from).withColumnRenamed("state", "track").join(limits, "key")
+    effects = slices.join(tracks, ["key", "place"]).mapInArrow(_effects(), "key long, place long, effect binary")
+    found = exclusive_scan(effects, products, compose_packed, act_packed).withColumnRenamed("state", "found")
+    decided = T.StructType([*columns.fields, T.StructField("sold", T.BooleanType())])
     return (
-        requests.join(found, ["product_id", "slice"])
-        .select(*requests.columns, "found")
-        .groupBy("product_id", "slice")
-        .applyInPandas(_selling_in_slice(), schema)
+        slices.join(found, ["key", "place"])
+        .select("requests", "found")
+        .mapInArrow(_selling_in_slices(), decided)
         .withColumn("outcome", F.when(F.col("sold"), ACCEPTED).otherwise(NO_STOCK))
     )
 
 
-def _slice_effect() -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """What a slice leaves, for any stock: ascending bounds of the stock found, and what is taken from there on.
+def _sum_of(effects: Sequence[bytes]) -> bytes:
+    """What several slices take together, as text."""
+    return str(sum(map(int, effects))).encode()
 
-    ``(low, taken)`` pairs of whole numbers. Stocks that have met the same fate
-    so far form an interval; a request splits those that hold it only in part.
-    """
 
-    def effect(requests: pd.DataFrame) -> pd.DataFrame:
-        quantities = requests.sort_values("seq")["quantity"].to_numpy(np.int64)
-        # Nothing but a restock can help a stock below the smallest request, and
-        # beyond the sum of all requests every one fits: between, intervals.
-        lows, taken = np.array([np.iinfo(np.int64).min // 4]), np.zeros(1, np.int64)
-        for q in quantities:
-            highs = np.append(lows[1:], np.iinfo(np.int64).max // 4)
-            edge = taken + q  # the least stock found that still holds the request
-            fits = lows >= edge
-            split = ~fits & (highs > edge)
-            if split.any():
-                lows = np.concatenate((lows, edge[split]))
-                fits = np.concatenate((fits, np.ones(int(split.sum()), bool)))
-                taken = np.concatenate((taken, taken[split]))
-                order = np.argsort(lows, kind="stable")
-                lows, taken, fits = lows[order], taken[order], fits[order]
-            taken = taken + q * fits
-            same = np.concatenate(([False], taken[1:] == taken[:-1]))
-            lows, taken = lows[~same], taken[~same]
-        first = requests.iloc[0]
-        return pd.DataFrame(
-            {
-                "product_id": [first["product_id"]],
-                "slice": [first["slice"]],
-                "available": [first["available"]],
-                "effect": [np.stack((lows, taken)).astype("<i8").tobytes()],
+def _taken_from(effect: bytes, stock: int) -> int:
+    return stock - int(effect)
+
+
+def _cut(columns: list[str], slice_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by product and turn as slices of one product."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, current, k = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            products = batch.column("product_id").to_numpy()
+            quantities = batch.column("quantity").to_numpy().astype(np.int64)
+            changes = [0, *(np.flatnonzero(products[1:] != products[:-1]) + 1).tolist(), len(products)]
+            starts = [at for low, high in zip(changes, changes[1:]) for at in range(low, high, slice_rows)]
+            numbers = []
+            for at in starts:
+                k = k + 1 if products[at] == current else 0
+                current = products[at]
+                numbers.append(k)
+            rows = pa.StructArray.from_arrays([batch.column(c) for c in columns], columns)
+            bounds = pa.array([*starts, len(products)], pa.int32())
+            arrays = {
+                "key": pa.array(products[starts]),
+                "part": pa.array([part] * len(starts), pa.int32()),
+                "k": pa.array(numbers, pa.int64()),
+                "available": batch.column("available").take(pa.array(starts)).cast(pa.int64()),
+                "taken": pa.array(np.add.reduceat(quantities, starts)),
+                "added": pa.array(np.add.reduceat(-np.minimum(quantities, 0), starts)),
+                "largest": pa.array(np.maximum.reduceat(np.maximum(quantities, 0), starts)),
+                "requests": pa.ListArray.from_arrays(bounds, rows),
             }
-        )
+            yield pa.RecordBatch.from_pydict(arrays)
 
-    return effect
+    return cut
 
 
-def _handed_on() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The stock each slice finds, from rows sorted by product and slice."""
+def _effects() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                effect_of(_quantities(batch, at), batch.column("track")[at].as_py(), batch.column("limit")[at].as_py()).pack()
+                for at in range(batch.num_rows)
+            ]
+            columns = [batch.column("key"), batch.column("place"), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "place", "effect"])
 
-    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, left = None, 0
+    return effects
+
+
+def _quantities(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    return batch.column("requests")[at].values.field("quantity").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _selling_in_slices() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The requests of each slice with ``sold``, from the stock that the slice finds."""
+
+    def sell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(name).to_pylist() for name in ("product_id", "slice", "available", "effect"))
-            rows = []
-            for product, part, available, effect in zip(*columns):
-                if product != current:
-                    current, left = product, available
-                rows.append((product, part, left))
-                lows, taken = np.frombuffer(effect, "<i8").reshape(2, -1)
-                left -= int(taken[np.searchsorted(lows, left, side="right") - 1])
-            arrays = [pa.array(column, pa.int64()) for column in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays(arrays, names=["product_id", "slice", "found"])
-
-    return hand_on
-
-
-def _selling_in_slice() -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Adds ``sold`` to the requests of one slice, which finds the stock ``found``."""
-
-    def sell(requests: pd.DataFrame) -> pd.DataFrame:
-        requests = requests.sort_values("seq")
-        left, sold = int(requests["found"].iloc[0]), []
-        for quantity in requests["quantity"]:
-            fits = quantity <= left
-            if fits:
-                left -= quantity
-            sold.append(bool(fits))
-        return requests.assign(sold=sold)
+            for at in range(batch.num_rows):
+                rows = batch.column("requests")[at].values
+                accepted, _ = sold(_quantities(batch, at), batch.column("found")[at].as_py())
+                names = [rows.type.field(i).name for i in range(rows.type.num_fields)]
+                yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(accepted)], names=[*names, "sold"])
 
     return sell
 
@@ -286,23 +296,25 @@ def _selling_in_slice() -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _selling_in_turn() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds ``sold`` to rows sorted by product and turn; keeps the stock left between batches.
 
-    An inner function is sent to the executors by value, so they need not have
-    this package installed.
+    Rows that have an outcome take nothing.
     """
 
     def sell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, left = None, 0
         for batch in batches:
-            columns = (batch.column(name).to_pylist() for name in ("product_id", "quantity", "available"))
-            sold = []
-            for product, quantity, available in zip(*columns):
-                if product != current:
-                    current, left = product, available
-                fits = quantity <= left
-                if fits:
-                    left -= quantity
-                sold.append(fits)
-            names = [*batch.schema.names, "sold"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sold, pa.bool_())], names=names)
+            if not batch.num_rows:
+                continue
+            products = batch.column("product_id").to_numpy()
+            stock = batch.column("available").fill_null(0).to_numpy()
+            quantities = batch.column("quantity").to_numpy().astype(np.int64)
+            open_ = batch.column("outcome").is_null().to_numpy(zero_copy_only=False)
+            accepted = np.zeros(len(products), bool)
+            changes = [0, *(np.flatnonzero(products[1:] != products[:-1]) + 1).tolist(), len(products)]
+            for low, high in zip(changes, changes[1:]):
+                if products[low] != current:
+                    current, left = products[low], int(stock[low])
+                if open_[low]:  # a product's rows share what is known of them
+                    accepted[low:high], left = sold(quantities[low:high], left)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted)], names=[*batch.schema.names, "sold"])
 
     return sell

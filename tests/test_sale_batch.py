@@ -3,10 +3,10 @@ from __future__ import annotations
 import random
 from datetime import date
 
-import numpy as np
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tallyloom.functions.scan import numbered_runs
 from tallyloom.operators import sale_batch
 from tallyloom.operators.sale_batch import apply_sales
 from tests.conftest import day, rows
@@ -166,23 +166,53 @@ def test_hot_product_goes_by_slices(spark, make, stock, restock):
         "orders": make("orders", (500_000, "2024-01-01", 1, 1, "Completed")),
         "inventory": make("inventory", (1, 1, stock, 1, None)),
     }
-    batch = run(spark, shop, requests, most_in_turn=1_000)
+    batch = run(spark, shop, requests, most_in_turn=1_000, slice_rows=64)
     want, left = one_after_the_other(requests, {1: stock})
     assert outcomes(batch) == want
     assert dict(rows(batch.inventory, "product_id", "stock")) == left
 
 
-def test_slice_effect_is_the_sequential_one():
-    rng = random.Random(4)
-    for _ in range(200):
-        quantities = [rng.randint(-4, 9) for _ in range(rng.randint(1, 25))]
-        frame = pd.DataFrame({"seq": range(len(quantities)), "quantity": quantities, "product_id": 1, "slice": 1, "available": 0})
-        lows, taken = np.frombuffer(sale_batch._slice_effect()(frame)["effect"][0], "<i8").reshape(2, -1)
-        for stock in range(-6, 60):
-            left = stock
-            for q in quantities:
-                left -= q if q <= left else 0
-            assert stock - taken[np.searchsorted(lows, stock, side="right") - 1] == left
+def test_a_million_contested_requests_of_one_product(spark):
+    """Equal to the sequential fold, by slices of a bounded size and a tree of groups of ``FAN``."""
+    number = 1_000_000
+    quantity = (F.pmod(F.xxhash64("id"), F.lit(50)) + 1).cast("int")
+    kept = [F.lit(1).cast("long").alias(c) for c in ("order_id", "order_item_id", "customer_id", "seller_id")]
+    requests = spark.range(number).select(
+        F.col("id").alias("seq"),
+        *kept,
+        F.when(F.col("id") % 50 == 7, 2).otherwise(1).cast("long").alias("product_id"),
+        quantity.alias("quantity"),
+        F.lit(None).cast("decimal(18,2)").alias("price"),
+        F.lit(None).cast("string").alias("outcome"),
+        F.when(F.col("id") % 50 == 7, 90_000).otherwise(11_000_000).cast("int").alias("available"),
+    )
+    decided = sale_batch._decide_by_slices(requests, 4_096)
+    got = decided.select("seq", "product_id", "quantity", "outcome").toPandas().sort_values("seq")
+    assert len(got) == number
+    for product, stock in ((1, 11_000_000), (2, 90_000)):
+        mine = got[got["product_id"] == product]
+        left, want = stock, []
+        for q in mine["quantity"].tolist():
+            want.append(q <= left)
+            left -= q if want[-1] else 0
+        assert ((mine["outcome"] == "accepted") == want).all() and 0 < sum(want) < len(want)
+
+
+def test_slices_have_a_bounded_size(spark):
+    rows_ = spark.range(30_000).select(
+        (F.col("id") % 3 % 2).alias("product_id"), F.col("id").alias("seq"), F.lit(-1).alias("quantity"), F.lit(9).alias("available")
+    )
+    ordered = rows_.repartitionByRange(5, "product_id", "seq").sortWithinPartitions("product_id", "seq")
+    cells = "array<struct<product_id: long, seq: long, quantity: int>>"
+    cut = sale_batch._cut(["product_id", "seq", "quantity"], 700)
+    columns = f"key long, part int, k long, available long, taken long, added long, largest long, requests {cells}"
+    slices = numbered_runs(ordered.mapInArrow(cut, columns))
+    sizes = slices.select("key", "place", F.size("requests").alias("n"), F.col("requests")[0].seq.alias("first")).collect()
+    assert max(r.n for r in sizes) <= 700 and sum(r.n for r in sizes) == 30_000
+    for key in (0, 1):
+        mine = sorted(r for r in sizes if r.key == key)
+        assert [r.place for r in mine] == list(range(len(mine)))
+        assert [r.first for r in mine] == sorted(r.first for r in mine)
 
 
 @pytest.mark.parametrize("most_in_turn", [20_000, 5])
@@ -204,7 +234,7 @@ def test_equals_sequential_model(spark, make, lowest, partitions, most_in_turn):
         "orders": make("orders", (500_000, "2024-01-01", 1, 1, "Completed")),
         "inventory": inventory.repartition(partitions),
     }
-    batch = run(spark, shop, requests, most_in_turn=most_in_turn)
+    batch = run(spark, shop, requests, most_in_turn=most_in_turn, slice_rows=7)
     want, left = one_after_the_other(requests, stock)
     assert outcomes(batch) == want
     assert dict(rows(batch.inventory, "product_id", "stock")) == left
