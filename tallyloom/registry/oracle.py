@@ -403,6 +403,15 @@ def _width_audit() -> str:
     return _sql(_ALL_VIEWS, "\nUNION ALL ".join(rows))
 
 
+def _hot_product(sql: str) -> str:
+    """Half of all requests ask for product 1, which has a large stock."""
+    asked = "CASE WHEN order_id % 2 = 0 THEN 1 ELSE product_id END AS product_id"
+    held = "CASE WHEN product_id = 1 THEN 400000 ELSE stock END AS stock"
+    hot = f"requests AS (SELECT * REPLACE ({asked}) FROM asked),\nfx_inv AS (SELECT * REPLACE ({held}) FROM held),\n"
+    sql = sql.replace("requests AS (", "asked AS (", 1).replace("fx_inv AS (", "held AS (", 1)
+    return sql.replace("sold AS (", f"{hot}sold AS (", 1)
+
+
 ORACLE_SQL: dict[str, str] = {
     "top_products": _top_products(),
     "top_products_completed": _top_products("WHERE order_status = 'Completed'"),
@@ -619,6 +628,9 @@ ORACLE_SQL: dict[str, str] = {
     "ab_test_z": _sql("fx_attempts", f"SELECT n_a, x_a, n_b, x_b, {_LIFTS}, round({_Z}, 8) AS z FROM {_COUNTS}"),
     "ab_test_readout": _sql("fx_attempts", "").rstrip() + _READOUT,
     "apply_sales_outcomes": _sql("outcomes", "SELECT order_id, product_id, quantity, outcome FROM outcomes"),
+    "apply_sales_hot_product": _hot_product(
+        _sql("outcomes", "SELECT order_id, product_id, quantity, outcome FROM outcomes")
+    ),
     "apply_sales_orders": _sql(
         "outcomes",
         """SELECT order_id, DATE '2001-08-02' AS order_date, customer_id, seller_id, 'Inprogress' AS order_status

@@ -39,13 +39,19 @@ CHECKOUT_TEST = e.Experiment(
 )
 
 
-def _sale_batch(t: StarTables) -> SaleBatch:
+def _sale_batch(t: StarTables, hot_product: bool = False) -> SaleBatch:
+    """Every order line asked for once more; with ``hot_product`` half of them ask for product 1."""
+    requests, inventory = t.sale_requests, t.inventory
+    if hot_product:
+        hot = F.when(F.col("order_id") % 2 == 0, 1).otherwise(F.col("product_id"))
+        requests = requests.withColumn("product_id", hot)
+        inventory = inventory.withColumn("stock", F.when(F.col("product_id") == 1, 400_000).otherwise(F.col("stock")))
     return apply_sales(
-        t.sale_requests,
+        requests,
         t.customers,
         t.sellers,
         t.products,
-        t.inventory,
+        inventory,
         t.orders_without_seller,
         as_of=date(2001, 8, 2),
         items=t.items,
@@ -221,6 +227,7 @@ _ON_TABLES: dict[str, Callable[[StarTables], DataFrame]] = {
     "ab_test_readout": _readout,
     # sale requests
     "apply_sales_outcomes": lambda t: _sale_batch(t).outcomes.drop("seq"),
+    "apply_sales_hot_product": lambda t: _sale_batch(t, hot_product=True).outcomes.drop("seq"),
     "apply_sales_orders": lambda t: _sale_batch(t).orders,
     "apply_sales_items": lambda t: _sale_batch(t).items.withColumns(
         {"price_per_unit": F.col("price_per_unit").cast("double"), "total_sale": F.col("total_sale").cast("double")}
