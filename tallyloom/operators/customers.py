@@ -11,16 +11,15 @@ from pyspark.sql import functions as F
 from tallyloom.functions.exact import as_double, cents, exact_ratio, full_name, percent
 from tallyloom.functions.ranking import global_dense_rank, top_dense_rank
 from tallyloom.model import CANCELLED, RETURNED
-from tallyloom.operators.order_facts import months_before_last_order, order_totals, with_status
+from tallyloom.operators.order_facts import Lines, months_before_last_order, with_status, with_totals
 
 
-def customer_totals(orders: DataFrame, items: DataFrame, statuses: Iterable[str] | None = None) -> DataFrame:
+def customer_totals(orders: DataFrame, items: Lines, statuses: Iterable[str] | None = None) -> DataFrame:
     """One row per customer with order lines: lines, revenue, returned lines."""
     returned = F.when(F.col("order_status") == RETURNED, F.col("lines")).otherwise(0)
+    sold = with_status(orders, statuses).select("order_id", "customer_id", "order_status")
     return (
-        with_status(orders, statuses)
-        .select("order_id", "customer_id", "order_status")
-        .join(order_totals(items), "order_id")
+        with_totals(sold, items)
         .groupBy("customer_id")
         .agg(
             F.sum("lines").alias("total_orders"),
@@ -166,11 +165,10 @@ def order_count_distribution(orders: DataFrame) -> DataFrame:
     )
 
 
-def state_revenue(orders: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
+def state_revenue(orders: DataFrame, items: Lines, customers: DataFrame) -> DataFrame:
     """Registered customers, ordering customers and revenue per state."""
     per_customer = (
-        orders.select("order_id", "customer_id")
-        .join(order_totals(items), "order_id", "left")
+        with_totals(orders.select("order_id", "customer_id"), items, "left")
         .groupBy("customer_id")
         .agg(F.sum("revenue").alias("revenue"), F.lit(True).alias("ordered"))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.exact import as_double, cents, percent
 from tallyloom.functions.ranking import global_dense_rank
 from tallyloom.model import RETURNED
-from tallyloom.operators.order_facts import with_status
+from tallyloom.operators.order_facts import Lines, in_months, lines_of, with_status
 
 
 def top_products(
@@ -119,7 +119,7 @@ def top_returned_products(orders: DataFrame, items: DataFrame, products: DataFra
 
 def yoy_decline(
     orders: DataFrame,
-    items: DataFrame,
+    items: Lines,
     products: DataFrame,
     before: int = 2022,
     after: int = 2023,
@@ -128,7 +128,8 @@ def yoy_decline(
     """The ``k`` products whose revenue fell most, in percent, between two years.
 
     Products without a sale in either year are left out. One pass over the
-    orders of both years; a date range lets month partitions be pruned.
+    orders of both years; of lines stored by month only those of the two years
+    are read.
     """
 
     def in_year(year: int):
@@ -136,9 +137,11 @@ def yoy_decline(
         return (day >= F.lit(date(year, 1, 1))) & (day < F.lit(date(year + 1, 1, 1)))
 
     dated = orders.select("order_id", "order_date").filter(in_year(before) | in_year(after))
+    of_years = in_months(
+        items, lambda month: month.between(before * 12, before * 12 + 11) | month.between(after * 12, after * 12 + 11)
+    )
     revenue = (
-        items.select("order_id", "product_id", "total_sale")
-        .join(dated, "order_id")
+        lines_of(of_years, dated, "product_id", "total_sale")
         .groupBy("product_id")
         .agg(
             F.sum(F.when(in_year(before), F.col("total_sale"))).alias("old"),

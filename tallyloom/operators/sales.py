@@ -11,20 +11,29 @@ from pyspark.sql import functions as F
 from tallyloom.functions.exact import as_double, cents, exact_ratio, percent
 from tallyloom.model import CANCELLED, COMPLETED, IN_PROGRESS, RETURNED
 from tallyloom.operators.distinct_sketches import distinct_count
-from tallyloom.operators.order_facts import months_before_last_order, order_totals, with_status
-
-
-def monthly_sales_trend(orders: DataFrame, items: DataFrame, months: int = 12) -> DataFrame:
+from tallyloom.operators.order_facts import (
+    Lines,
+    in_months,
+    month_number,
+    months_before_last_order,
+    order_totals,
+    with_status,
+    with_totals,
+)
+
+
+def monthly_sales_trend(orders: DataFrame, items: Lines, months: int = 12) -> DataFrame:
     """Revenue per month from ``months`` before the newest order on, and that of the row before.
 
+    Of lines stored by month only those months are read.
+
     The inclusive start gives ``months + 1`` calendar months, the first one
     partial. The previous row need not be the previous month.
     """
-    recent = orders.select("order_id", "order_date").filter(
-        F.col("order_date") >= months_before_last_order(orders, months)
-    )
+    start = months_before_last_order(orders, months)
+    recent = orders.select("order_id", "order_date").filter(F.col("order_date") >= start)
     monthly = (
-        recent.join(order_totals(items), "order_id")
+        with_totals(recent, in_months(items, lambda month: month >= month_number(start)))
         .groupBy(F.year("order_date").alias("year"), F.month("order_date").alias("month"))
         .agg(F.sum("revenue").alias("sale"))
     )
@@ -50,7 +59,7 @@ def payment_status_share(orders: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
-def top_seller_success(orders: DataFrame, items: DataFrame, sellers: DataFrame, k: int = 5) -> DataFrame:
+def top_seller_success(orders: DataFrame, items: Lines, sellers: DataFrame, k: int = 5) -> DataFrame:
     """Completed share of the ``k`` sellers with the highest revenue.
 
     In-progress and returned orders are left out, so the percentage is
@@ -59,8 +68,7 @@ def top_seller_success(orders: DataFrame, items: DataFrame, sellers: DataFrame,
     """
     decided = ~F.col("order_status").isin(IN_PROGRESS, RETURNED)
     per_seller = (
-        orders.select("order_id", "seller_id", "order_status")
-        .join(order_totals(items), "order_id", "left")
+        with_totals(orders.select("order_id", "seller_id", "order_status"), items, "left")
         .groupBy("seller_id")
         .agg(
             F.sum("revenue").alias("revenue"),
@@ -88,7 +96,7 @@ def top_seller_success(orders: DataFrame, items: DataFrame, sellers: DataFrame,
 
 
 def inactive_sellers(
-    orders: DataFrame, items: DataFrame, sellers: DataFrame, months: int = 6, null_safe: bool = False
+    orders: DataFrame, items: Lines, sellers: DataFrame, months: int = 6, null_safe: bool = False
 ) -> DataFrame:
     """Sellers without an order in the trailing ``months``: last sale date, largest sale.
 
@@ -98,8 +106,7 @@ def inactive_sellers(
     """
     start = months_before_last_order(orders, months)
     per_seller = (
-        orders.select("order_id", "order_date", "seller_id")
-        .join(order_totals(items), "order_id", "left")
+        with_totals(orders.select("order_id", "order_date", "seller_id"), items, "left")
         .groupBy("seller_id")
         .agg(
             F.max("order_date").alias("last_order_date"),
@@ -141,7 +148,7 @@ def slow_shipping(
     )
 
 
-def provider_performance(shippings: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
+def provider_performance(shippings: DataFrame, orders: DataFrame, items: Lines) -> DataFrame:
     """Order lines, revenue and average days until return per shipping provider.
 
     The average runs over shipments with a return date, weighted by lines; 0

@@ -702,3 +702,9 @@ ORACLE_SQL: dict[str, str] = {
            FROM cohorts""",
     ),
 }
+
+# Stored tables change how a report is read, not what it says.
+ORACLE_SQL |= {
+    f"{name}_stored": ORACLE_SQL[name]
+    for name in ("monthly_sales_trend", "yoy_decline", "customer_clv_rank", "top_seller_success")
+}

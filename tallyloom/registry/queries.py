@@ -16,8 +16,10 @@ from tallyloom.operators import products as p
 from tallyloom.operators import quality as q
 from tallyloom.operators import retention as r
 from tallyloom.operators import sales as s
+from tallyloom.operators.order_facts import SplitLines
 from tallyloom.operators.sale_batch import SaleBatch, apply_sales
 from tallyloom.session import cut_lineage, scratch_path
+from tallyloom.sources.order_store import OrderStore
 from tallyloom.sources.raw_csv import read_clean_csv, read_table
 from tallyloom.sources.sinks import with_provenance, write_report
 from tallyloom.sources.star import StarTables
@@ -109,6 +111,18 @@ def _report_round_trip(t: StarTables) -> DataFrame:
     return back.select(*(F.col(name).cast(kind).alias(name) for name, kind in report.dtypes))
 
 
+def _stored(report: Callable[[StarTables, DataFrame, SplitLines], DataFrame]) -> Callable[[StarTables], DataFrame]:
+    """A report over orders and lines that are stored bucketed and by month; orders of seven lines count as hot."""
+
+    def run(t: StarTables) -> DataFrame:
+        path = _shared_path(t.spark)
+        store = OrderStore(t.spark, path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_"), path, buckets=4)
+        store.write(t.orders, t.items, most_lines=6)
+        return report(t, store.orders(), store.lines())
+
+    return run
+
+
 def _readout(t: StarTables) -> DataFrame:
     row = e.ab_test_readout(t.attempts, "arm", "success", CHECKOUT_TEST)
     return row.withColumn("p_value", F.round("p_value", 10))
@@ -190,6 +204,11 @@ _ON_TABLES: dict[str, Callable[[StarTables], DataFrame]] = {
     "kpi_summary_sketched": _kpi_sketched,
     "quarterly_customers_sketched": _quarterly_sketched,
     "fulfillment_funnel_sketched": _funnel_sketched,
+    # the same reports over stored orders and lines
+    "monthly_sales_trend_stored": _stored(lambda t, orders, lines: s.monthly_sales_trend(orders, lines)),
+    "yoy_decline_stored": _stored(lambda t, orders, lines: p.yoy_decline(orders, lines, t.products, 1999, 2000)),
+    "customer_clv_rank_stored": _stored(lambda t, orders, lines: c.customer_clv_rank(orders, lines, t.customers)),
+    "top_seller_success_stored": _stored(lambda t, orders, lines: s.top_seller_success(orders, lines, t.sellers)),
     "order_count_distribution": lambda t: c.order_count_distribution(t.orders_without_seller),
     "state_revenue": lambda t: c.state_revenue(t.orders_without_seller, t.items, t.customers),
     "never_ordered_share": lambda t: c.never_ordered_share(t.customers, t.orders_without_seller),
