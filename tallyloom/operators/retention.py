@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.exact import percent
 from tallyloom.model import CANCELLED
+from tallyloom.operators.order_facts import month_number
+
+
+def counted_orders(orders: DataFrame) -> DataFrame:
+    """Orders that make their customer active: not cancelled, with customer, status and date."""
+    return orders.filter(
+        (F.col("order_status") != CANCELLED) & F.col("customer_id").isNotNull() & F.col("order_date").isNotNull()
+    )
 
 
 def cohort_retention(orders: DataFrame) -> DataFrame:
@@ -18,11 +26,9 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
     A customer's cohort is the month of the first order that was not
     cancelled. Orders without a customer, status or date are left out.
     """
-    month = F.year("order_date") * 12 + F.month("order_date") - 1
     active = (
-        orders.filter((F.col("order_status") != CANCELLED) & F.col("customer_id").isNotNull())
-        .filter(F.col("order_date").isNotNull())
-        .select("customer_id", month.alias("month"))
+        counted_orders(orders)
+        .select("customer_id", month_number(F.col("order_date")).alias("month"))
         # Map tasks fold repeated months, so a customer with very many orders
         # reaches the window as one row per active month.
         .distinct()
@@ -33,14 +39,19 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
         .groupBy("cohort", "months_since_cohort")
         .agg(F.count(F.lit(1)).alias("retained_users"))
     )
+    return retention_rates(counts)
+
+
+def retention_rates(counts: DataFrame) -> DataFrame:
+    """Sizes and rates for (cohort, months_since_cohort, retained_users); cohorts are months since year 0."""
     # Every customer is active at offset 0, so that count is the cohort's size.
     size = F.max(F.when(F.col("months_since_cohort") == 0, F.col("retained_users"))).over(W.partitionBy("cohort"))
-    cohort_month = F.make_date(F.floor(F.col("cohort") / 12).cast("int"), F.col("cohort") % 12 + 1, F.lit(1))
+    cohort_month = F.make_date(F.floor(F.col("cohort") / 12).cast("int"), (F.col("cohort") % 12 + 1).cast("int"), F.lit(1))
     return (
         counts.withColumn("cohort_size", size)
         .select(
             cohort_month.alias("cohort_month"),
-            "months_since_cohort",
+            F.col("months_since_cohort").cast("int").alias("months_since_cohort"),
             "cohort_size",
             "retained_users",
             percent(F.col("retained_users"), F.col("cohort_size")).alias("retention_rate"),

@@ -708,3 +708,4 @@ ORACLE_SQL |= {
     f"{name}_stored": ORACLE_SQL[name]
     for name in ("monthly_sales_trend", "yoy_decline", "customer_clv_rank", "top_seller_success")
 }
+ORACLE_SQL["cohort_retention_bitmaps"] = ORACLE_SQL["cohort_retention"]

@@ -16,6 +16,7 @@ from tallyloom.operators import products as p
 from tallyloom.operators import quality as q
 from tallyloom.operators import retention as r
 from tallyloom.operators import sales as s
+from tallyloom.operators.cohort_bitmaps import CohortStore
 from tallyloom.operators.order_facts import SplitLines
 from tallyloom.operators.sale_batch import SaleBatch, apply_sales
 from tallyloom.session import cut_lineage, scratch_path
@@ -111,6 +112,15 @@ def _report_round_trip(t: StarTables) -> DataFrame:
     return back.select(*(F.col(name).cast(kind).alias(name) for name, kind in report.dtypes))
 
 
+def _retention_of_bitmaps(t: StarTables) -> DataFrame:
+    """Retention from months added in three goes, the second with orders that the first had too."""
+    store = CohortStore(t.spark, _shared_path(t.spark))
+    orders, year = t.orders_without_seller, F.year("order_date")
+    for part in (year < 1998, year.between(1997, 2000), year >= 2000):
+        store.add(orders.filter(part))
+    return store.retention()
+
+
 def _stored(report: Callable[[StarTables, DataFrame, SplitLines], DataFrame]) -> Callable[[StarTables], DataFrame]:
     """A report over orders and lines that are stored bucketed and by month; orders of seven lines count as hot."""
 
@@ -236,6 +246,7 @@ _ON_TABLES: dict[str, Callable[[StarTables], DataFrame]] = {
     "retention_window": lambda t: r.retention_window(
         r.cohort_pivot(r.cohort_retention(t.orders_without_seller), range(13)), 12
     ),
+    "cohort_retention_bitmaps": _retention_of_bitmaps,
     "retention_curve": lambda t: r.retention_curve(r.cohort_retention(t.orders_without_seller)),
     # funnels and the test readout
     "fulfillment_funnel": lambda t: f.fulfillment_funnel(t.orders_without_seller),
