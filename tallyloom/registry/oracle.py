@@ -709,3 +709,15 @@ ORACLE_SQL |= {
     for name in ("monthly_sales_trend", "yoy_decline", "customer_clv_rank", "top_seller_success")
 }
 ORACLE_SQL["cohort_retention_bitmaps"] = ORACLE_SQL["cohort_retention"]
+ORACLE_SQL["load_with_rejects"] = _sql(
+    "fx_orders fx_items",
+    """SELECT 'orders' AS table_name, COUNT(*) FILTER (order_id % 97 <> 0) AS row_count, CAST(NULL AS BIGINT) AS null_total_sale,
+              COUNT(*) FILTER (order_id % 97 = 0) AS rejected_rows, 'order_date is not date' AS reject_reason,
+              COUNT(*) FILTER (order_id % 97 = 0) AS rejects
+       FROM fx_orders
+       UNION ALL
+       SELECT 'order_items', COUNT(*) FILTER (order_item_id % 89 <> 0),
+              COUNT(*) FILTER (order_item_id % 89 <> 0 AND quantity * total_sale IS NULL),
+              COUNT(*) FILTER (order_item_id % 89 = 0), 'quantity is not int', COUNT(*) FILTER (order_item_id % 89 = 0)
+       FROM fx_items""",
+)

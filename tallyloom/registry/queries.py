@@ -19,9 +19,10 @@ from tallyloom.operators import sales as s
 from tallyloom.operators.cohort_bitmaps import CohortStore
 from tallyloom.operators.order_facts import SplitLines
 from tallyloom.operators.sale_batch import SaleBatch, apply_sales
+from tallyloom.plans.load import load_checked
 from tallyloom.session import cut_lineage, scratch_path
 from tallyloom.sources.order_store import OrderStore
-from tallyloom.sources.raw_csv import read_clean_csv, read_table
+from tallyloom.sources.raw_csv import FILES, read_clean_csv, read_table
 from tallyloom.sources.sinks import with_provenance, write_report
 from tallyloom.sources.star import StarTables
 
@@ -91,6 +92,19 @@ def _csv_order_items(t: StarTables) -> DataFrame:
     return _through_csv(t, "order_items", columns | {"price_per_unit": F.col("total_sale")}, t.items)
 
 
+def _load_with_rejects(t: StarTables) -> DataFrame:
+    """Counts of a load whose files hold orders without a right date and lines without a right quantity."""
+    raw, path = _shared_path(t.spark), _shared_path(t.spark)
+    day = F.when(F.col("order_id") % 97 == 0, "soon").otherwise(F.col("order_date").cast("string"))
+    t.orders.withColumn("order_date", day).write.csv(f"{raw}/{FILES['orders']}", header=True)
+    quantity = F.when(F.col("order_item_id") % 89 == 0, "many").otherwise(F.col("quantity").cast("string"))
+    lines = t.items.select("order_item_id", "order_id", "product_id", quantity.alias("quantity"), F.col("total_sale").alias("price_per_unit"))
+    lines.write.csv(f"{raw}/{FILES['order_items']}", header=True)
+    loaded = load_checked(t.spark, raw, path, ("orders", "order_items"))
+    rejects = loaded.rejects.groupBy("table_name", "reject_reason").agg(F.count(F.lit(1)).alias("rejects"))
+    return loaded.audit.join(rejects, "table_name")
+
+
 def _csv_plain(table: str) -> Callable[[StarTables], DataFrame]:
     """Tables whose headers are their columns' names, but for one that is renamed on the way in."""
 
@@ -273,6 +287,7 @@ _ON_TABLES: dict[str, Callable[[StarTables], DataFrame]] = {
     "csv_ingest_inventory": _csv_plain("inventory"),
     "csv_ingest_payments": _csv_plain("payments"),
     "csv_ingest_shippings": _csv_plain("shippings"),
+    "load_with_rejects": _load_with_rejects,
     # sinks
     "report_round_trip": _report_round_trip,
     # data quality

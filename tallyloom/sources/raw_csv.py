@@ -56,7 +56,7 @@ def read_clean_csv(
     would put values under wrong names), and rows with too few or too many
     cells (a quoted line break without ``multiline`` is seen as such).
     """
-    options = {"header": True, "encoding": "UTF-8", "escape": '"', "multiLine": multiline}
+    options = _options(multiline)
     head = spark.read.csv(path, **options).columns
     # With a given schema every file's header is compared with it; without
     # column pruning every row's cells are counted, whatever is selected.
@@ -66,8 +66,16 @@ def read_clean_csv(
         .schema(schema)
         .csv(path, **options, enforceSchema=False, mode="FAILFAST")
     )
-    names = [name.lstrip("\ufeff").strip() for name in head]
-    return df.toDF(*((renames or {}).get(name, name) for name in names))
+    return df.toDF(*_clean(head, renames))
+
+
+def _options(multiline: bool) -> dict[str, object]:
+    return {"header": True, "encoding": "UTF-8", "escape": '"', "multiLine": multiline}
+
+
+def _clean(head: list[str], renames: Mapping[str, str] | None) -> list[str]:
+    names = (name.lstrip("\ufeff").strip() for name in head)
+    return [(renames or {}).get(name, name) for name in names]
 
 
 def read_table(spark: SparkSession, table: str, path: str, multiline: bool = False) -> DataFrame:
@@ -83,3 +91,40 @@ def read_table(spark: SparkSession, table: str, path: str, multiline: bool = Fal
         )
     )
     return typed.withColumns(derived).select(*spec.column_names) if derived else typed
+
+
+REASON, RECORD = "reject_reason", "reject_record"
+
+
+def read_with_rejects(spark: SparkSession, table: str, path: str, multiline: bool = False) -> DataFrame:
+    """One model table from CSV with ``reject_reason`` and ``reject_record``; both are NULL for a good row.
+
+    A row is rejected, not the load, if it has too few or too many cells, or a cell that is
+    not of its column's type. ``reject_record`` is the row as it stood in the file, or its
+    cells as JSON. Files whose headers differ are refused all the same.
+    """
+    spec, corrupt = TABLES[table], "_corrupt_record"
+    options = _options(multiline)
+    head = spark.read.csv(path, **options).columns
+    text_columns = [T.StructField(name, T.StringType()) for name in [*head, corrupt]]
+    raw = (
+        spark.read.option("columnPruning", "false")
+        .schema(T.StructType(text_columns))
+        .csv(path, **options, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt)
+    )
+    cells = _clean(head, RENAMES.get(table))
+    text = raw.toDF(*cells, corrupt)
+    derived = _derived(table)
+    reasons, typed = [F.when(F.col(corrupt).isNotNull(), "wrong number of cells")], []
+    for name, data_type in spec.columns:
+        if name in derived:
+            continue
+        given = F.when(~F.col(name).isin(NULL_TOKENS), F.col(name))
+        value = given.try_cast(data_type)
+        reasons.append(F.when(given.isNotNull() & value.isNull(), f"{name} is not {data_type.simpleString()}"))
+        typed.append(value.alias(name))
+    as_json = F.to_json(F.struct(*cells))
+    reason = F.coalesce(*reasons)
+    record = F.when(reason.isNotNull(), F.coalesce(F.col(corrupt), as_json))
+    checked = text.select(*typed, reason.alias(REASON), record.alias(RECORD))
+    return checked.withColumns(derived).select(*spec.column_names, REASON, RECORD)
