@@ -473,25 +473,34 @@ def repair_conversations(rows: DataFrame, most_rows: int = ROWS, most_characters
     spark = rows.sparkSession
     known = rows.select("conv_id").distinct()
     shown = lambda c: F.coalesce(F.col(c), F.lit(" "))
-    distinct = (
-        rows.filter(F.col("copies") > 0)
-        .groupBy("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"))
-        .agg(F.sum("copies").alias("copies"))
-        .withColumn("digest", F.sha2("text", 256))
+    # Plain equalities, so that the fold's partitioning serves the join: NULLs are told by a flag.
+    keys = ["no_conv", "conv", "has_turn", "in_turn", "role", "digest"]
+    keyed = rows.filter(F.col("copies") > 0).select(
+        F.col("conv_id").isNull().alias("no_conv"),
+        F.coalesce("conv_id", F.lit(0)).alias("conv"),
+        F.col("turn").isNotNull().alias("has_turn"),
+        F.coalesce("turn", F.lit(0)).alias("in_turn"),
+        shown("role").alias("role"),
+        F.unhex(F.sha2(shown("text"), 256)).alias("digest"),
+        shown("text").alias("text"),
+        "copies",
     )
-    # NULL turns come first. The turn is in the join's key, so a text that very many rows share is spread.
-    least = F.min(F.struct(F.col("turn").isNotNull(), F.col("turn"))).alias("least")
-    firsts = distinct.groupBy("conv_id", "role", "digest").agg(least).select(
-        F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d"), F.col("least.turn").alias("t")
+    distinct = keyed.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.first("text").alias("text"))
+    # The earliest row of each text in a conversation, found without the texts; one without a turn
+    # comes first. The turn is in the join's key, so a text that very many rows share is spread.
+    least = F.min(F.struct("has_turn", "in_turn")).alias("least")
+    firsts = (
+        keyed.groupBy("no_conv", "conv", "role", "digest")
+        .agg(least)
+        .select("no_conv", "conv", "least.has_turn", "least.in_turn", "role", "digest", F.lit(True).alias("first"))
     )
-    same = (
-        F.col("conv_id").eqNullSafe(F.col("c"))
-        & (F.col("role") == F.col("r"))
-        & (F.col("digest") == F.col("d"))
-        & F.col("turn").eqNullSafe(F.col("t"))
-    )
-    marked = distinct.join(firsts, same, "left").select(
-        "conv_id", "turn", "role", "text", "copies", F.col("d").isNull().alias("repeats")
+    marked = distinct.join(firsts, keys, "left").select(
+        F.when(~F.col("no_conv"), F.col("conv")).alias("conv_id"),
+        F.when(F.col("has_turn"), F.col("in_turn")).alias("turn"),
+        "role",
+        "text",
+        "copies",
+        F.col("first").isNull().alias("repeats"),
     )
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role")]
     ordered = marked.repartitionByRange(partitions(spark), *order, F.substring("text", 1, 32)).sortWithinPartitions(*order, "text")
