@@ -13,17 +13,26 @@ from tallyloom.session import cut_lineage
 
 WIDTH = 32
 SLICES = WIDTH * WIDTH
+#: Rows that a slice holds at least, on average, before there are more slices.
+SLICE_ROWS = 10_000
 
 
 def slice_bounds(values: DataFrame, column: str) -> list[float]:
-    """Ascending cut points that split a numeric column into about ``SLICES`` equal slices.
+    """Ascending cut points that split a numeric column into about equal slices.
 
-    One small row comes to the driver. As literals, the cut points are the same
-    wherever they are used; the sketch behind them steers balance only.
+    A small table has few slices, a large one ``SLICES`` (1, 4, 16 ... of them). One small
+    row comes to the driver. As literals, the cut points are the same wherever they are
+    used; the sketch behind them steers balance only.
     """
     cuts = _doubles([i / SLICES for i in range(1, SLICES)])
-    found = values.agg(F.percentile_approx(F.col(column).cast("double"), cuts, 4 * SLICES)).first()[0]
-    return [v if math.isfinite(v) else math.copysign(sys.float_info.max, v) for v in found or [0.0] * (SLICES - 1)]
+    number = F.col(column).cast("double")
+    rows, found = values.agg(F.count(number), F.percentile_approx(number, cuts, 4 * SLICES)).first()
+    width = 1
+    while width < WIDTH and width * width * SLICE_ROWS < rows:
+        width *= 2
+    stride = SLICES // (width * width)
+    bounds = (found or [0.0] * (SLICES - 1))[stride - 1 :: stride]
+    return [v if math.isfinite(v) else math.copysign(sys.float_info.max, v) for v in bounds]
 
 
 def _doubles(values: list[float]) -> Column:
@@ -34,16 +43,20 @@ def _doubles(values: list[float]) -> Column:
 def slice_number(bounds: list[float], value: Column) -> Column:
     """How many cut points lie below ``value``, plus one; 0 for NULL.
 
-    Grows with ``value``, so the order of slices is the order of values. As a
-    double, a value keeps its order. Two short searches, first for the block of
-    cut points and then inside it, take the place of one long one.
+    ``bounds`` come from ``slice_bounds``. Grows with ``value``, so the order of
+    slices is the order of values. As a double, a value keeps its order. Two short
+    searches, first for the block of cut points and then inside it, take the place
+    of one long one.
     """
     number = F.coalesce(value.cast("double"), F.lit(0.0))
-    heads = _doubles(bounds[WIDTH - 1 :: WIDTH])
-    block = _below(heads, number)
-    blocks = F.array(*(_doubles(bounds[i : i + WIDTH - 1]) for i in range(0, SLICES, WIDTH)))
+    known = value.isNotNull().cast("long")
+    width = math.isqrt(len(bounds) + 1)
+    if width == 1:
+        return known
+    block = _below(_doubles(bounds[width - 1 :: width]), number)
+    blocks = F.array(*(_doubles(bounds[i : i + width - 1]) for i in range(0, width * width, width)))
     within = _below(F.get(blocks, block.cast("int")), number)
-    return (block * WIDTH + within + 1) * value.isNotNull().cast("long")
+    return (block * width + within + 1) * known
 
 
 def _below(sorted_values: Column, value: Column) -> Column:

@@ -6,10 +6,17 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import ranking
 from tallyloom.functions.ranking import slice_bounds, slice_number
 from tallyloom.operators import funnel as f
 from tests.conftest import rows
 
+
+@pytest.fixture(autouse=True)
+def many_slices(monkeypatch):
+    """Small tables in as many slices as large ones have."""
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 1)
+
 # Published status counts and the funnel that follows from them.
 STATUS_COUNTS = {"Completed": 17802, "Returned": 2840, "Inprogress": 499, "Cancelled": 488}
 PUBLISHED = [

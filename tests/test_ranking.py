@@ -7,11 +7,18 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions import ranking
 from tallyloom.functions.joins import spread_lookup
 from tallyloom.functions.ranking import SLICES, global_dense_rank, slice_bounds, slice_number, top_dense_rank
 from tests.conftest import rows
 
 
+@pytest.fixture(autouse=True)
+def many_slices(monkeypatch):
+    """Small tables in as many slices as large ones have."""
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 1)
+
+
 def scored(spark, n, kinds, seed=1):
     rng = random.Random(seed)
     # A third of the rows share one score; some have none.
@@ -39,6 +46,19 @@ def test_slice_numbers_count_the_cut_points_below(spark):
         assert n == (0 if v is None else sum(b < v for b in bounds) + 1)
 
 
+@pytest.mark.parametrize("slice_rows, slices", [(10**6, 1), (3_200, 4), (400, 16), (3, 1024)])
+def test_number_of_slices_follows_the_rows(spark, monkeypatch, slice_rows, slices):
+    monkeypatch.setattr(ranking, "SLICE_ROWS", slice_rows)
+    values = spark.createDataFrame([(None,)] + [(v / 3,) for v in range(-300, 3000)], "v double")
+    bounds = slice_bounds(values, "v")
+    assert len(bounds) == slices - 1 and bounds == sorted(bounds)
+    for v, n in rows(values.select("v", slice_number(bounds, F.col("v")))):
+        assert n == (0 if v is None else sum(b < v for b in bounds) + 1)
+    df = scored(spark, 900, 300)
+    want = df.withColumn("r", F.dense_rank().over(W.orderBy(F.col("s").desc_nulls_first())))
+    assert sorted(rows(global_dense_rank(df, "s", "r"), "id", "r")) == sorted(rows(want, "id", "r"))
+
+
 def test_global_dense_rank_of_nothing_and_of_one_value(spark):
     df = scored(spark, 10, 5)
     assert rows(global_dense_rank(df.filter("id < 0"), "s", "r")) == []
