@@ -108,7 +108,7 @@ def test_run_is_the_stages_in_turn(spark, stages):
 
 
 def test_registered_queries():
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(n) for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLE_SQL) <= set(QUERIES)
 
 
