@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyloom import session
+from tallyloom.registry.queries import QUERIES
 from tallyloom.session import _require_shared, cut_lineage, drop_intermediates, intermediates, scratch_path
+from tallyloom.sources.star import SCHEMAS
 
 
 def folder_of(spark):
@@ -47,3 +51,44 @@ def test_machine_local_folders_are_refused_on_a_cluster(folder, master, default,
     else:
         with pytest.raises(ValueError):
             _require_shared(folder, master, default)
+
+
+@pytest.fixture
+def on_a_cluster(spark, tmp_path, monkeypatch):
+    """The session as if of a cluster whose ``spark.checkpoint.dir`` has no scheme."""
+    folder = tmp_path / "checkpoints"
+    folder.mkdir()
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(session, "_folder", lambda spark: str(folder))
+    monkeypatch.setattr(session, "_tried", set())
+    return folder
+
+
+def test_a_shared_folder_without_scheme_is_used_on_a_cluster(spark, on_a_cluster, tmp_path):
+    spark.createDataFrame([(i, "n", i) for i in range(3)], SCHEMAS["nation"]).write.parquet(f"{tmp_path}/nation.parquet")
+    for name, key, kind in (("part", "p_partkey", "p_type"), ("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name")):
+        columns = SCHEMAS[name].replace(",", "").split()
+        values = {key: F.col("id"), kind: (F.col("id") % 7).cast("string")}
+        rows = spark.range(100).select(*(values.get(c, F.lit(1)).cast(t).alias(c) for c, t in zip(columns[::2], columns[1::2])))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], SCHEMAS["orders"]).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([], SCHEMAS["lineitem"]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    with intermediates(spark):
+        found = QUERIES["csv_ingest_category"](spark, str(tmp_path)).collect()
+        assert sorted((r.category_id, r.category_name) for r in found) == [(i + 1, str(i)) for i in range(7)]
+        assert cut_lineage(spark.range(5)).count() == 5
+        assert len(os.listdir(on_a_cluster)) == 2
+    assert os.listdir(on_a_cluster) == []
+
+
+def test_a_folder_that_loses_rows_is_refused_on_a_cluster(spark, on_a_cluster, monkeypatch):
+    monkeypatch.setattr(session, "_all_found_again", lambda spark, folder: False)
+    with pytest.raises(ValueError):
+        scratch_path(spark)
+
+
+def test_a_trial_tells_whether_all_is_found_again(spark, tmp_path):
+    assert session._all_found_again(spark, str(tmp_path))
+    assert os.listdir(tmp_path) == []
+    (tmp_path / "file").write_text("no folder")
+    assert not session._all_found_again(spark, str(tmp_path / "file"))
