@@ -25,8 +25,10 @@ def numbered_runs(runs: DataFrame) -> DataFrame:
     """``runs`` (key, part, k, ...) with ``place``: 0, 1, ... per key in the order of (part, k).
 
     ``part`` is a partition of a sort by key, ``k`` grows from 0 by one inside a partition
-    and key. Only one count per key and partition is put in order.
+    and key. Only one count per key and partition is put in order. ``runs`` are written
+    first: computed twice, a range sort may cut its partitions at other rows.
     """
+    runs = cut_lineage(runs)
     sizes = runs.groupBy("key", "part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     # Written, so that its size is known and the runs themselves need not be shuffled.

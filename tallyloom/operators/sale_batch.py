@@ -191,11 +191,9 @@ def _decide_by_slices(requests: DataFrame, slice_rows: int) -> DataFrame:
     columns = requests.drop("available").schema
     cells = f"array<{columns.simpleString()}>"
     slices = numbered_runs(
-        cut_lineage(
-            ordered.mapInArrow(
-                _cut(columns.names, slice_rows),
-                f"key long, part int, k long, available long, taken long, added long, largest long, requests {cells}",
-            )
+        ordered.mapInArrow(
+            _cut(columns.names, slice_rows),
+            f"key long, part int, k long, available long, taken long, added long, largest long, requests {cells}",
         )
     )
     small = cut_lineage(slices.drop("requests"))

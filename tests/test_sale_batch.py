@@ -215,6 +215,22 @@ def test_slices_have_a_bounded_size(spark):
         assert [r.first for r in mine] == sorted(r.first for r in mine)
 
 
+def test_runs_are_computed_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for pdf in batches:
+            computed.add(len(pdf))
+            yield pdf
+
+    runs = spark.range(20).select(
+        F.lit(1).cast("long").alias("key"), F.floor(F.col("id") / 5).cast("int").alias("part"), (F.col("id") % 5).alias("k"), "id"
+    )
+    got = numbered_runs(runs.mapInPandas(counting, runs.schema)).collect()
+    assert sorted((r.place, r.id) for r in got) == [(i, i) for i in range(20)]
+    assert computed.value == 20
+
+
 @pytest.mark.parametrize("most_in_turn", [20_000, 5])
 @pytest.mark.parametrize("lowest", [1, 0, -3])
 @pytest.mark.parametrize("partitions", [1, 7])
