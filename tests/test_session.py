@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import session
+from tallyloom.registry.oracle import ORACLE_SQL
 from tallyloom.registry.queries import QUERIES
 from tallyloom.session import _require_shared, cut_lineage, drop_intermediates, intermediates, scratch_path
 from tallyloom.sources.star import SCHEMAS
+from tests.oracle import compare
 
 
 def folder_of(spark):
@@ -81,6 +84,52 @@ def test_a_shared_folder_without_scheme_is_used_on_a_cluster(spark, on_a_cluster
     assert os.listdir(on_a_cluster) == []
 
 
+# 158 orders, two a month; customer 0 orders in all 79 months, an order has one to seven lines.
+STAR = {
+    "nation": "SELECT i::INT AS n_nationkey, 'N' || i AS n_name, 0 AS n_regionkey FROM range(3) r(i)",
+    "customer": """SELECT i AS c_custkey, 'Customer#' || lpad(i::VARCHAR, 9, '0') AS c_name, (i % 3)::INT AS c_nationkey,
+                          1.5::DOUBLE AS c_acctbal, 'M' AS c_mktsegment FROM range(21) r(i)""",
+    "supplier": "SELECT i AS s_suppkey, 'S' || i AS s_name, (i % 3)::INT AS s_nationkey, 0::DOUBLE AS s_acctbal FROM range(5) r(i)",
+    "part": """SELECT i AS p_partkey, 'P' || i AS p_name, 'B' AS p_brand, 'T' || i % 4 AS p_type, (i * 30)::INT AS p_size,
+                      (10 + i * 1.25)::DOUBLE AS p_retailprice FROM range(12) r(i)""",
+    "orders": """SELECT i AS o_orderkey, CASE i % 2 WHEN 0 THEN 0 ELSE 1 + i % 20 END AS o_custkey, ['O', 'F', 'P'][1 + i % 3] AS o_orderstatus,
+                        9::DOUBLE AS o_totalprice, TIMESTAMP '1995-01-15' + to_months((i // 2)::INT) AS o_orderdate,
+                        ['2-HIGH', '5-LOW'][1 + (i % 10 = 9)::INT] AS o_orderpriority FROM range(158) r(i)""",
+    "lineitem": """SELECT i AS l_orderkey, (i + k * 5) % 12 AS l_partkey, (i + k) % 5 AS l_suppkey, k::INT AS l_linenumber,
+                          (1 + (i * k) % 9)::DOUBLE AS l_quantity, (100 + i + k * 0.37)::DOUBLE AS l_extendedprice, 0::DOUBLE AS l_discount,
+                          0::DOUBLE AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus,
+                          TIMESTAMP '1995-02-01' + to_months((i // 2)::INT) AS l_shipdate
+                   FROM range(158) r(i), range(1, 8) s(k) WHERE k <= 1 + i % 7""",
+    "events": """SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, 'view' AS event_type, 0::DOUBLE AS value,
+                        '' AS props FROM range(1) r(i)""",
+}
+
+
+@pytest.fixture(scope="module")
+def star(tmp_path_factory):
+    """(folder, connection) of small tables that the queries below read."""
+    folder, duck = tmp_path_factory.mktemp("star"), duckdb.connect()
+    for table, rows in STAR.items():
+        duck.execute(f"COPY ({rows}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    return str(folder), duck
+
+
+@pytest.mark.parametrize(
+    "name",
+    """apply_sales_inventory apply_sales_items apply_sales_orders apply_sales_outcomes cohort_pivot cohort_retention_bitmaps
+    csv_ingest_category csv_ingest_customers csv_ingest_inventory csv_ingest_order_items csv_ingest_orders csv_ingest_payments
+    csv_ingest_products csv_ingest_sellers csv_ingest_shippings customer_clv_rank customer_clv_rank_completed
+    customer_clv_rank_stored load_with_rejects monthly_sales_trend_stored product_margin_rank quarterly_customers_sketched""".split(),
+)
+def test_queries_end_on_a_cluster_whose_folder_has_no_scheme(spark, on_a_cluster, star, name):
+    folder, duck = star
+    with intermediates(spark):
+        assert compare(QUERIES[name](spark, folder), duck, ORACLE_SQL[name]) > 0
+        assert os.listdir(on_a_cluster)
+    assert os.listdir(on_a_cluster) == []
+
+
 def test_a_folder_that_loses_rows_is_refused_on_a_cluster(spark, on_a_cluster, monkeypatch):
     monkeypatch.setattr(session, "_all_found_again", lambda spark, folder: False)
     with pytest.raises(ValueError):
