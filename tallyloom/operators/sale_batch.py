@@ -38,7 +38,7 @@ from tallyloom.functions.joins import spread_lookup
 from tallyloom.functions.scan import exclusive_scan, numbered_runs
 from tallyloom.functions.stock import act_packed, compose_packed, effect_of, sold
 from tallyloom.model import IN_PROGRESS, MONEY
-from tallyloom.session import cut_lineage
+from tallyloom.session import cut_lineage, written
 
 ACCEPTED, NO_STOCK = "accepted", "not_enough_stock"
 
@@ -46,6 +46,9 @@ ACCEPTED, NO_STOCK = "accepted", "not_enough_stock"
 MOST_IN_TURN = 20_000
 #: Requests of one slice of a product that has more.
 SLICE_ROWS = 4_096
+#: Requests that are shuffled at a time, unless that takes more than ``GOES`` goes.
+ROWS_A_GO = 4_000_000
+GOES = 4
 
 _REQUEST = ["seq", "order_id", "order_item_id", "customer_id", "seller_id", "product_id", "quantity"]
 
@@ -84,8 +87,8 @@ def apply_sales(
     """
     taken = {"order_id": orders} | ({} if items is None else {"order_item_id": items})
     requests = requests.select(*_REQUEST)
-    screened = cut_lineage(_screen(requests, taken, customers, sellers, strict))
-    decided = cut_lineage(_decide(screened, products, inventory, most_in_turn, slice_rows))
+    screened = _screen(requests, taken, customers, sellers, strict)
+    decided = _decide(screened, products, inventory, most_in_turn, slice_rows)
     accepted = decided.filter(F.col("outcome") == ACCEPTED)
 
     used = accepted.groupBy("product_id").agg(F.sum("quantity").alias("used"))
@@ -110,29 +113,65 @@ def apply_sales(
     )
 
 
+def _written(*frames: DataFrame, since: int | None = None) -> DataFrame:
+    """Tables of requests are the most that a batch has on disk."""
+    return cut_lineage(*frames, since=since, compression="zstd")
+
+
+def _looked_up(
+    df: DataFrame, lookup: DataFrame, key: str, step: Callable[[DataFrame, DataFrame], DataFrame], since: int
+) -> DataFrame:
+    """``step`` on both, those of some keys at a time: what it shuffles is never there as a whole."""
+    # A session without a folder has written nothing, and would compute the rows to count them.
+    goes = min(GOES, 1 + df.count() // ROWS_A_GO) if written() > since else 1
+    part = F.pmod(F.xxhash64(key), F.lit(goes))
+    parts = [step(df.filter(part == i), lookup.filter(part == i)) for i in range(goes)] if goes > 1 else [step(df, lookup)]
+    return _written(*parts, since=since)
+
+
 def _screen(
     requests: DataFrame, taken: dict[str, DataFrame], customers: DataFrame, sellers: DataFrame, strict: bool
 ) -> DataFrame:
-    """Adds ``error``: why a request may not compete, or NULL."""
-    checks: list[tuple[Column, str]] = []
-    df = requests
+    """Adds ``error``: why a request may not compete, or NULL.
+
+    Only ids that something is wrong with are looked up, and requests are written after
+    each look: at no time does more than one shuffle of them lie on disk.
+    """
+    since = written()
+    df = _written(requests.withColumn("error", F.lit(None).cast("string")))
     for key, table in taken.items():
-        first = requests.groupBy(key).agg(F.min("seq").alias("seq")).withColumn(f"_first_{key}", F.lit(True))
-        exists = table.select(key).distinct().withColumn(f"_taken_{key}", F.lit(True))
-        # seq in the join key keeps requests that share an id in separate rows of the shuffle.
-        df = df.join(first, [key, "seq"], "left").join(exists, key, "left")
-        checks += [
-            (F.col(key).isNull(), f"missing_{key}"),
-            (F.col(f"_taken_{key}").isNotNull(), f"taken_{key}"),
-            (F.col(f"_first_{key}").isNull(), f"repeated_{key}"),
-        ]
+        wrong = _written(_wrong_ids(df, key, table))
+        first = F.coalesce(F.col("seq") == F.col("_first"), F.lit(False))
+        error = (
+            F.when(F.col(key).isNull(), f"missing_{key}")
+            .when(F.col("_taken"), f"taken_{key}")
+            .when(F.col("_taken").isNotNull() & ~first, f"repeated_{key}")
+        )
+        df = _looked_up(df, wrong, key, lambda rows, ids: _with_error(rows.join(ids, key, "left"), error), since)
     for key, table in {"customer_id": customers, "seller_id": sellers}.items():
-        df = df.join(table.select(key).distinct().withColumn(f"_known_{key}", F.lit(True)), key, "left")
-        checks.append((F.col(key).isNotNull() & F.col(f"_known_{key}").isNull(), f"unknown_{key.removesuffix('_id')}"))
-    if strict:
-        checks.append((F.col("quantity") < 1, "invalid_quantity"))
-    error = F.coalesce(*(F.when(condition, F.lit(name)) for condition, name in checks))
-    return df.select(*_REQUEST, error.alias("error"))
+        unknown = df.select(key).filter(F.col(key).isNotNull()).distinct().join(table.select(key), key, "left_anti")
+        unknown = _written(unknown.withColumn("_unknown", F.lit(True)))
+        if not unknown.isEmpty():
+            error = F.when(F.col("_unknown"), f"unknown_{key.removesuffix('_id')}")
+            df = _looked_up(df, unknown, key, lambda rows, ids: _with_error(rows.join(ids, key, "left"), error), since)
+    return _with_error(df, F.when(F.col("quantity") < 1, "invalid_quantity")) if strict else df
+
+
+def _with_error(df: DataFrame, error: Column) -> DataFrame:
+    return df.select(*_REQUEST, F.coalesce("error", error).alias("error"))
+
+
+def _wrong_ids(requests: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """(key, _first, _taken) of ids that ``table`` has or more than one request: the first request's seq."""
+    known = table.select(key).distinct().withColumn("_known", F.lit(True))
+    return (
+        requests.filter(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .join(known, key, "left")
+        .filter(F.col("_known").isNotNull() | (F.col("_n") > 1) | F.col("_first").isNull())
+        .select(key, "_first", F.col("_known").isNotNull().alias("_taken"))
+    )
 
 
 def _decide(
@@ -155,24 +194,31 @@ def _decide(
         .when(F.col("listed").isNull(), F.lit("unknown_product"))
         .when((available >= 0) & (F.col("wanted") <= available), F.lit(ACCEPTED))
     )
-    offers = cut_lineage(
+    since = written()
+    offers = _written(
         open_.groupBy("product_id")
         .agg(F.sum(F.greatest(quantity, F.lit(0))).alias("wanted"), F.count(F.lit(1)).alias("requests"))
         .join(stock, "product_id", "left")
         .join(prices, "product_id", "left")
         .select("product_id", "available", "price", fate.alias("outcome"), (F.col("requests") > most_in_turn).alias("many"))
     )
-    if offers.filter("many").isEmpty():
-        return settled.unionByName(_in_turn(open_.join(offers, "product_id")).select(*kept))
-    slot = F.pmod(F.xxhash64("seq"), F.lit(64))
-    offered = spread_lookup(open_, offers, "product_id", slot)
-    undecided = offered.filter(F.col("outcome").isNull())
-    hot = undecided.filter("many").select(*kept, "available")
-    return (
-        settled.unionByName(offered.filter(F.col("outcome").isNotNull()).select(*kept))
-        .unionByName(_in_turn(undecided.filter(~F.col("many"))).select(*kept))
-        .unionByName(_decide_by_slices(hot, slice_rows).select(*kept))
+    many = offers.filter("many")
+
+    def passed(rows: DataFrame, lookup: DataFrame) -> DataFrame:
+        return _in_turn(rows.join(lookup, "product_id")).select(*kept)
+
+    if many.isEmpty():
+        return settled.unionByName(_looked_up(open_, offers, "product_id", passed, since))
+    # One in ``most_in_turn`` requests has such a product at most.
+    offered = open_.join(F.broadcast(many), "product_id")
+    hot = offered.filter(F.col("outcome").isNull()).select(*kept, "available")
+    by_slices = _written(
+        offered.filter(F.col("outcome").isNotNull()).select(*kept).unionByName(_decide_by_slices(hot, slice_rows).select(*kept)),
+        since=since + 1,
     )
+    others = open_.join(F.broadcast(many.select("product_id")), "product_id", "left_anti")
+    rest = _looked_up(others, offers.filter(~F.col("many")), "product_id", passed, since + 2)
+    return settled.unionByName(by_slices).unionByName(rest)
 
 
 def _in_turn(offered: DataFrame) -> DataFrame:
@@ -196,7 +242,7 @@ def _decide_by_slices(requests: DataFrame, slice_rows: int) -> DataFrame:
             f"key long, part int, k long, available long, taken long, added long, largest long, requests {cells}",
         )
     )
-    small = cut_lineage(slices.drop("requests"))
+    small = _written(slices.drop("requests"))
     products = small.groupBy("key").agg(
         F.first("available").alias("state"), F.sum("added").alias("added"), F.max("largest").alias("largest")
     )
@@ -206,7 +252,8 @@ def _decide_by_slices(requests: DataFrame, slice_rows: int) -> DataFrame:
     )
     running = small.select("key", "place", F.encode(F.col("taken").cast("string"), "UTF-8").alias("effect"))
     tracks = exclusive_scan(running, products, _sum_of, _taken_from).withColumnRenamed("state", "track").join(limits, "key")
-    effects = slices.join(tracks, ["key", "place"]).mapInArrow(_effects(), "key long, place long, effect binary")
+    quantities = slices.select("key", "place", F.col("requests.quantity").alias("quantities"))
+    effects = quantities.join(tracks, ["key", "place"]).mapInArrow(_effects(), "key long, place long, effect binary")
     found = exclusive_scan(effects, products, compose_packed, act_packed).withColumnRenamed("state", "found")
     decided = T.StructType([*columns.fields, T.StructField("sold", T.BooleanType())])
     return (
@@ -264,7 +311,7 @@ def _effects() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                effect_of(_quantities(batch, at), batch.column("track")[at].as_py(), batch.column("limit")[at].as_py()).pack()
+                effect_of(_whole(batch.column("quantities")[at].values), batch.column("track")[at].as_py(), batch.column("limit")[at].as_py()).pack()
                 for at in range(batch.num_rows)
             ]
             columns = [batch.column("key"), batch.column("place"), pa.array(out, pa.binary())]
@@ -273,8 +320,8 @@ def _effects() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return effects
 
 
-def _quantities(batch: pa.RecordBatch, at: int) -> np.ndarray:
-    return batch.column("requests")[at].values.field("quantity").to_numpy(zero_copy_only=False).astype(np.int64)
+def _whole(quantities: pa.Array) -> np.ndarray:
+    return quantities.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _selling_in_slices() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -284,7 +331,7 @@ def _selling_in_slices() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in batches:
             for at in range(batch.num_rows):
                 rows = batch.column("requests")[at].values
-                accepted, _ = sold(_quantities(batch, at), batch.column("found")[at].as_py())
+                accepted, _ = sold(_whole(rows.field("quantity")), batch.column("found")[at].as_py())
                 names = [rows.type.field(i).name for i in range(rows.type.num_fields)]
                 yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(accepted)], names=[*names, "sold"])
 

@@ -221,6 +221,7 @@ class StarTables:
         buyer = self.source("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"))
         return (
             self.source("lineitem")
+            .repartition("l_orderkey")  # as the join needs them too
             .withColumn("repeat", F.row_number().over(repeats))
             .join(buyer, "l_orderkey")
             .select(

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import session
 from tallyloom.functions.scan import numbered_runs
 from tallyloom.operators import sale_batch
 from tallyloom.operators.sale_batch import apply_sales
@@ -255,3 +257,46 @@ def test_equals_sequential_model(spark, make, lowest, partitions, most_in_turn):
     assert outcomes(batch) == want
     assert dict(rows(batch.inventory, "product_id", "stock")) == left
     assert batch.items.count() == sum(v == "accepted" for v in want.values())
+
+
+def _shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("most_in_turn", [20_000, 100])
+def test_a_batch_leaves_its_result_on_disk_and_nothing_else(spark, shop, most_in_turn):
+    """Tables between and the files of their shuffles go while it runs."""
+    requests = [ask(i, i % 2 + 1, 1, order=i // 2 * 2) for i in range(1_000)]
+    before, tables = _shuffle_bytes(spark), len(session._written)
+
+    def left():
+        return sum(n for name, n in _shuffle_bytes(spark).items() if name not in before)
+
+    batch = run(spark, shop, requests, most_in_turn=most_in_turn)
+    until = time.time() + 20
+    while left() > 2_000 and time.time() < until:  # they go beside the work
+        time.sleep(0.2)
+    assert left() <= 2_000  # of the driver's own questions, a row each
+    assert len(session._written) - tables <= 6  # a table of the screened and one or two of the decided, small lookups
+    assert sum(v == "repeated_order_id" for v in outcomes(batch).values()) == 499
+
+
+def test_requests_that_go_a_part_at_a_time(spark, shop, make, monkeypatch):
+    rng = random.Random(7)
+    requests = [
+        (i if i % 50 else None, rng.choice([None, 500, *range(300)]), rng.choice([None, 7, *range(300)]), rng.choice([None, 1, 9]), rng.choice([None, 1, 9]), rng.choice([None, 1, 2, 3, 42]), rng.choice([None, 1, 2]))
+        for i in range(400)
+    ]
+    items = make("order_items", (7, 500, 1, 1, 1, 1))
+    inventory = make("inventory", (1, 1, 20, 1, None), (2, 2, 15, 1, None), (3, 42, 9, 1, None))
+
+    def decided():
+        return sorted(rows(run(spark, {**shop, "inventory": inventory}, requests, items=items).outcomes), key=repr)
+
+    whole = decided()
+    assert len({r[-1] for r in whole}) == 10
+    written_ = len(session._written)
+    monkeypatch.setattr(sale_batch, "ROWS_A_GO", 100)
+    assert decided() == whole
+    assert len(session._written) > written_
